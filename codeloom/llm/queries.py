@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, token_file, warc
+from . import exact_dedup, substring_dedup, token_file, warc
 from .common import table
 
 
@@ -14,6 +15,11 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -23,13 +29,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE = {
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT k, unnest(range(1, len(w) - 33)) AS pos, w FROM d WHERE len(w) >= 35),
+h AS (SELECT k, pos, md5(array_to_string(w[pos:pos + 34], ' ')) AS h FROM s),
+r AS (SELECT k, pos FROM (SELECT k, pos, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+c AS (SELECT k, list(DISTINCT pos + i) AS gone FROM (SELECT k, pos, unnest(range(0, 35)) AS i FROM r) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN c USING (k)
+""",
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (
