@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash, substring_dedup, token_file, warc
+from . import exact_dedup, mixing, simhash, substring_dedup, token_file, warc
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_taken(table(spark, sf_dir, "documents"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_digests(table(spark, sf_dir, "documents"))
 
