@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, simhash, substring_dedup, token_file, warc
+from . import decontaminate, exact_dedup, mixing, simhash, substring_dedup, token_file, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -54,6 +58,19 @@ c AS (SELECT k, list(DISTINCT pos + i) AS gone FROM (SELECT k, pos, unnest(range
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN c USING (k)
+""",
+    "op7_decontaminate": rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS pos FROM i WHERE len(w) > 0),
+b AS (SELECT DISTINCT item_id, n, array_to_string(w[pos:pos + n - 1], ' ') AS s FROM p),
+q AS (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM b) WHERE len(w) >= n),
+h AS (SELECT q.k, q.pos, b.n, b.item_id FROM (SELECT k, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS s FROM q) q JOIN b ON q.n = b.n AND q.s = b.s),
+c AS (SELECT k, count(DISTINCT x) AS n_hit FROM (SELECT k, unnest(range(pos, pos + n)) AS x FROM h) GROUP BY k),
+t AS (SELECT k, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS item FROM h) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(ids, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN t USING (k)
 """,
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
