@@ -168,3 +168,15 @@ def identify(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     held = held_out if held_out is not None else doc_remainder(F.col("doc_id"), 4) == 2
     model = train(docs, ~held)
     return predict(docs.withColumn("_held_out", held), model, keep=["doc_id", "_held_out"]).withColumnRenamed("_held_out", "held_out")
+
+
+def keep_identified(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` in a language that their labels teach, with all their columns.
+
+    Texts without a letter and texts whose best language scores under ``min_score`` go.
+    """
+    model = train(docs, F.lit(True), text_col, lang_col, id_col)
+    names = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # free of names that predict() adds
+    told = predict(plain, model, f"c{names.index(text_col)}", plain.columns)
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*plain.columns).toDF(*names)
