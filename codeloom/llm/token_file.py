@@ -17,8 +17,10 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +35,13 @@ from .common import partitions, shared_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 _PAIR = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = ".,;:!?#$%&*|"
+#: The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256 on.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTS)}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -43,9 +49,11 @@ class Encoder:
     """Encodes whole texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores have tasks of their own
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -71,14 +79,38 @@ class Encoder:
 
     def _learn(self, cut: list[list[str]]) -> None:
         wanted = set().union(*cut)
-        missing = [x for x in wanted if x not in self.cache]
+        missing = wanted.difference(self.cache)
         if len(self.cache) + len(missing) > 2 * CACHE_PIECES:
-            self.cache.clear()
-            missing = list(wanted)
-        for k in range(0, len(missing), 20_000):
-            some = missing[k : k + 20_000]
-            for piece, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(x.ids, "<u4").tobytes()
+            self.cache = {x: self.cache[x] for x in wanted.difference(missing)}  # those in use again
+        for piece in missing:
+            self.cache[piece] = b"".join(map(self._unit, self._units(piece)))
+
+    @staticmethod
+    def _units(piece: str) -> list[str]:
+        """The piece cut at single line ends and before closing marks, where tokens of the pattern also end."""
+        if "\n" in piece and not _PAIR.search(piece) and piece[0] != "\n" and piece[-1] != "\n":
+            lines = piece.split("\n")
+            parts = [x for line in lines for x in (line, "\n")][:-1]
+        else:
+            parts = [piece]
+        out = []
+        for part in parts:
+            word = part.rstrip(_MARKS)
+            out += [word, part[len(word) :]] if word and len(word) < len(part) and word[-1].isalnum() else [part]
+        return out
+
+    def _unit(self, unit: str) -> bytes:
+        found = self.units.get(unit)
+        if found is None:
+            if len(self.units) >= 400_000:
+                self.units = {}
+            word = unit[1:] if unit[0] == " " else unit
+            if word.isalpha():  # one token of the pattern: the model alone, on the bytes' letters
+                ids = [x.id for x in self.tokenizer.model.tokenize(unit.encode().decode("latin-1").translate(_LETTERS))]
+            else:
+                ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+            found = self.units[unit] = array("I", ids).tobytes()
+        return found
 
 
 def encoder(path: str) -> Encoder:
