@@ -5,15 +5,125 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.operators import graph as ops
+from codeloom.operators import iterate, lenses
+from codeloom.operators.graph import Graph
+
+from .fixture import WITH, graph
+
+PURITY = "round(1.0 - (CASE WHEN allocations > 0 THEN 0.35 ELSE 0.0 END) - (CASE WHEN is_unsafe OR unsafe_blocks > 0 THEN 0.3 ELSE 0.0 END) - (CASE WHEN is_async OR awaits > 0 THEN 0.2 ELSE 0.0 END), 6)::DOUBLE"
+DEGREES = f"""{WITH},
+fi AS (SELECT dst AS node_id, count(*) AS n FROM edges GROUP BY 1), fo AS (SELECT src AS node_id, count(*) AS n FROM edges GROUP BY 1),
+deg AS (SELECT nodes.node_id, coalesce(fi.n, 0) AS fan_in, coalesce(fo.n, 0) AS fan_out FROM nodes LEFT JOIN fi USING (node_id) LEFT JOIN fo USING (node_id)),
+defs AS (SELECT * FROM nodes JOIN deg USING (node_id) WHERE kind <> 'external')
+"""
+ENDS = f"""{WITH},
+ends AS (SELECT e.*, a.module_path AS am, b.module_path AS bm, split_part(a.module_path, '::', 1) AS ac, split_part(b.module_path, '::', 1) AS bc
+  FROM edges e JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE a.kind <> 'external' AND b.kind <> 'external')
+"""
+
+
+def _lens(*rules: tuple[str, str, str, str]) -> str:
+    return DEGREES + " UNION ALL ".join(f"SELECT '{code}' AS code, {severity} AS severity, node_id, ({value})::DOUBLE AS value FROM defs WHERE {when}" for code, when, severity, value in rules)
+
+
+CC = "(decision_points + 1)"
+COMPLEXITY = [("high_complexity", f"{CC} > 10", f"CASE WHEN {CC} >= 20 THEN 'high' ELSE 'medium' END", CC), ("too_many_parameters", "parameters > 5", "'low'", "parameters"), ("long_function", "lines_of_code > 60", "'low'", "lines_of_code"), ("deep_nesting", "max_nesting > 4", "'low'", "max_nesting")]
+HAZARDS = [("unsafe_usage", "is_unsafe OR unsafe_blocks > 0", "'medium'", "unsafe_blocks"), ("heap_pressure", "allocations >= 8", "CASE WHEN allocations >= 20 THEN 'medium' ELSE 'low' END", "allocations")]
+IMPURE = ("impure_hotspot", f"{PURITY} < 0.4 AND fan_in >= 3", "'low'", PURITY)
+
+
+def _loops(code: str, severity: str, like: str) -> str:
+    return f"SELECT '{code}' AS code, '{severity}' AS severity, src AS node_id, count(*)::DOUBLE AS value FROM edges JOIN nodes ON node_id = dst WHERE in_loop AND kind_of_node = 'external' AND qualified_name LIKE '{like}' GROUP BY src".replace("kind_of_node", "nodes.kind")
+
+
+def _places(g: Graph) -> DataFrame:
+    """A place in the middle of, and one after, each definition of a few."""
+    return g.defs.where("node_id % 7 = 0").select("file", F.explode(F.array(F.col("start_line") + 3, F.col("end_line") + 30)).alias("line")).distinct()
+
+
+PLACES = "places AS (SELECT DISTINCT file, unnest([start_line + 3, end_line + 30]) AS line FROM nodes WHERE kind <> 'external' AND node_id % 7 = 0)"
+SEARCH = "plate"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.crate_lines(_table(spark, sf_dir, "documents")).select("doc_id", F.col("lines").cast("long").alias("lines"))
+
+
+def _excluded(g: Graph) -> DataFrame:
+    kept = ops.exclude(g)
+    out = kept.edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("edges"))
+    return kept.nodes.select("node_id").join(out, "node_id", "left").select("node_id", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+def _summary(g: Graph) -> DataFrame:
+    n = g.nodes.agg(F.count_if(F.col("kind") != "external").alias("functions"), F.count_if(F.col("kind") == "external").alias("externals"))
+    e = g.edges.agg(F.count("*").alias("edges"), F.sum("count").alias("calls"))
+    d = lenses.diagnostics(g).agg(F.count("*").alias("diagnostics"))
+    return n.crossJoin(e).crossJoin(d)  # one row each
+
+
+DIAGNOSTICS = _lens(*COMPLEXITY, *HAZARDS, IMPURE) + " UNION ALL " + _loops("n_plus_one", "medium", "std::fs::%") + " UNION ALL " + _loops("clone_in_loop", "low", "Vec%::clone")
+
+#: name: (operator on the graph, SQL or None)
+GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
+    "nodes": (lambda g: g.nodes, WITH + "SELECT * FROM nodes"),
+    "merge_edges": (lambda g: g.edges, WITH + "SELECT * FROM edges"),
+    "degrees": (ops.degrees, DEGREES + "SELECT * FROM deg"),
+    "entry_points": (ops.entry_kinds, DEGREES + "SELECT node_id, qualified_name, CASE WHEN name = 'main' THEN 'main' WHEN is_test THEN 'test' WHEN is_exported THEN 'exported' WHEN is_pub THEN 'public' ELSE 'root' END AS entry FROM defs WHERE name = 'main' OR fan_in = 0"),
+    "neighbors": (lambda g: ops.neighbors(g, 5), WITH + "SELECT 'out' AS side, dst AS other, qualified_name, e.kind, count FROM edges e JOIN nodes ON node_id = dst WHERE src = 5 UNION ALL SELECT 'in', src, qualified_name, e.kind, count FROM edges e JOIN nodes ON node_id = src WHERE dst = 5"),
+    "branches": (ops.branches, WITH + "SELECT src, dst, min(line) AS line, sum(count)::BIGINT AS count, max((kind = 'spawn')::INT) AS spawned, max((dst IN (SELECT src FROM edges))::INT) AS has_branches FROM edges GROUP BY src, dst"),
+    "flags_of": (ops.tags, WITH + "SELECT node_id, concat_ws(',', CASE WHEN is_pub THEN 'pub' END, CASE WHEN is_async THEN 'async' END, CASE WHEN is_unsafe THEN 'unsafe' END, CASE WHEN is_test THEN 'test' END, CASE WHEN is_exported THEN 'export' END) AS tags FROM nodes WHERE kind <> 'external'"),
+    "span": (ops.spans, WITH + "SELECT node_id, concat(file, ':', start_line, '-', greatest(start_line, end_line)) AS span FROM nodes WHERE kind <> 'external' AND start_line > 0"),
+    "node_at": (lambda g: ops.node_at(g, _places(g)), f"{WITH}, {PLACES} SELECT file, line, node_id FROM (SELECT p.file, p.line, node_id, row_number() OVER (PARTITION BY p.file, p.line ORDER BY end_line - start_line, start_line DESC, node_id) AS r FROM places p JOIN nodes n ON n.file = p.file AND p.line BETWEEN start_line AND end_line) WHERE r = 1"),
+    "nearest_at": (lambda g: ops.nearest_at(g, _places(g)), f"{WITH}, {PLACES} SELECT file, line, node_id, gap FROM (SELECT p.file, p.line, node_id, greatest(0, start_line - p.line, p.line - end_line) AS gap, row_number() OVER (PARTITION BY p.file, p.line ORDER BY greatest(0, start_line - p.line, p.line - end_line), start_line DESC, node_id) AS r FROM places p JOIN nodes n ON n.file = p.file) WHERE r = 1"),
+    "resolve": (lambda g: ops.resolve(g, SEARCH), WITH + f"SELECT node_id, qualified_name, CASE WHEN lower(qualified_name) = '{SEARCH}' THEN 0 WHEN lower(name) = '{SEARCH}' THEN 1 WHEN lower(qualified_name) LIKE '%::{SEARCH}' THEN 2 ELSE 3 END AS rank, strlen(qualified_name)::INT AS bytes FROM nodes WHERE kind <> 'external' AND contains(lower(qualified_name), '{SEARCH}')"),
+    "outline": (ops.outline, WITH + "SELECT scope, count(*) AS functions FROM (SELECT unnest(list_distinct([split_part(module_path, '::', 1), concat(split_part(module_path, '::', 1), '::', split_part(module_path, '::', 2)), module_path])) AS scope FROM nodes WHERE kind <> 'external') GROUP BY scope"),
+    "module_functions": (ops.module_functions, WITH + "SELECT module_path, count(*) AS functions FROM nodes WHERE kind <> 'external' GROUP BY 1"),
+    "module_edges": (ops.module_edges, ENDS + "SELECT am AS a, bm AS b, count(*) AS edges FROM ends WHERE am <> bm GROUP BY 1, 2"),
+    "cross_crate_calls": (ops.cross_crate_calls, ENDS + "SELECT ac AS a, bc AS b, count(*) AS pairs, sum(count)::BIGINT AS calls FROM ends WHERE ac <> bc GROUP BY 1, 2"),
+    "group_weights": (ops.group_weights, ENDS + ", w AS (SELECT ac AS a, bc AS b, sum(greatest(count, 1))::BIGINT AS weight FROM ends WHERE ac <> bc AND kind IN ('direct_call', 'associated_call', 'spawn') GROUP BY 1, 2) SELECT w.a, w.b, w.weight FROM w LEFT JOIN w x ON x.a = w.b AND x.b = w.a WHERE w.weight >= coalesce(x.weight, 0)"),
+    "call_volume": (ops.call_volume, WITH + "SELECT dst AS node_id, sum(count)::BIGINT AS volume FROM edges GROUP BY 1"),
+    "exclude": (_excluded, WITH + """, i AS (SELECT node_id FROM nodes WHERE kind <> 'external' AND NOT is_test AND NOT is_example), e AS (SELECT * FROM edges WHERE src IN (SELECT node_id FROM i)),
+o AS (SELECT node_id FROM nodes WHERE kind = 'external' AND (node_id IN (SELECT dst FROM e) OR node_id NOT IN (SELECT dst FROM edges))), a AS (SELECT * FROM i UNION ALL SELECT * FROM o)
+SELECT a.node_id, count(src) AS edges FROM a LEFT JOIN (SELECT * FROM e WHERE dst IN (SELECT node_id FROM a)) x ON x.src = a.node_id GROUP BY 1"""),
+    "metrics_compute": (lenses.metrics, DEGREES + f"SELECT node_id, unnest(['cyclomatic', 'fan_in', 'fan_out', 'heap', 'purity']) AS kind, unnest([{CC}::DOUBLE, fan_in::DOUBLE, fan_out::DOUBLE, allocations::DOUBLE, {PURITY}]) AS value FROM defs"),
+    "lens_complexity": (lenses.complexity, _lens(*COMPLEXITY)),
+    "lens_hazards": (lenses.hazards, _lens(*HAZARDS)),
+    "lens_purity": (lenses.impure_hotspots, _lens(IMPURE)),
+    "lens_dead_code": (lenses.dead_code, _lens(("dead_code", "fan_in = 0 AND NOT is_test AND NOT is_pub AND name <> 'main'", "'low'", "lines_of_code"))),
+    "lens_god_function": (lenses.god_functions, _lens(("god_function", "least(fan_in, fan_out) >= 8", "CASE WHEN least(fan_in, fan_out) >= 16 THEN 'high' ELSE 'medium' END", "least(fan_in, fan_out)"))),
+    "lens_hotspot": (lenses.hotspots, DEGREES + ", v AS (SELECT dst AS node_id, sum(count) AS volume FROM edges GROUP BY 1) SELECT 'hotspot' AS code, CASE WHEN fan_in >= 12 OR volume >= 32 THEN 'high' ELSE 'medium' END AS severity, node_id, volume::DOUBLE AS value FROM defs JOIN v USING (node_id) WHERE fan_in >= 2 AND (fan_in >= 6 OR volume >= 16)"),
+    "lens_unstable_dependency": (lenses.unstable_dependencies, DEGREES + f", r AS (SELECT src AS node_id, count(*) AS n, round(avg(({CC} > 10 OR fan_in >= 10)::INT), 6) AS ratio FROM edges JOIN defs ON defs.node_id = dst GROUP BY 1) SELECT 'unstable_dependency' AS code, CASE WHEN ratio >= 0.75 THEN 'medium' ELSE 'low' END AS severity, node_id, ratio::DOUBLE AS value FROM r WHERE n >= 5 AND ratio >= 0.5"),
+    "lens_self_recursion": (lenses.self_recursion, WITH + "SELECT 'self_recursion' AS code, 'low' AS severity, src AS node_id, count::DOUBLE AS value FROM edges WHERE src = dst"),
+    "lens_n_plus_one": (lenses.io_in_loops, WITH + _loops("n_plus_one", "medium", "std::fs::%")),
+    "lens_clone_in_loop": (lenses.clones_in_loops, WITH + _loops("clone_in_loop", "low", "Vec%::clone")),
+    "lens_paradigm": (lenses.paradigm, WITH + f", p AS (SELECT round(avg((kind = 'method')::INT), 6)::DOUBLE AS methods, round(avg(({PURITY})), 6)::DOUBLE AS purity FROM nodes WHERE kind <> 'external') SELECT methods, purity, CASE WHEN methods >= 0.6 THEN 'object_oriented' WHEN methods <= 0.35 AND purity >= 0.6 THEN 'functional' ELSE 'mixed' END AS style FROM p"),
+    "diag_counts": (lambda g: lenses.diagnostics(g).groupBy("code", "severity").agg(F.count("*").alias("n")), f"SELECT code, severity, count(*) AS n FROM ({DIAGNOSTICS}) GROUP BY 1, 2"),
+    "advisors": (lambda g: lenses.suggestions(lenses.diagnostics(g)), f"SELECT code, count(*) AS n, least(base + step * count(*), cap)::INT AS priority FROM ({DIAGNOSTICS}) JOIN (VALUES {', '.join(map(str, lenses.ADVICE))}) t(code, base, step, cap) USING (code) GROUP BY code, base, step, cap"),
+    "summary": (_summary, f"{WITH} SELECT (SELECT count(*) FROM nodes WHERE kind <> 'external') AS functions, (SELECT count(*) FROM nodes WHERE kind = 'external') AS externals, (SELECT count(*) FROM edges) AS edges, (SELECT sum(count)::BIGINT FROM edges) AS calls, (SELECT count(*) FROM ({DIAGNOSTICS})) AS diagnostics"),
+    "reachable": (lambda g: iterate.reachable(g, [0, 1], 8), WITH + ", r(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id IN (0, 1) UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = r.node_id WHERE depth < 8) SELECT node_id, min(depth) AS depth FROM r GROUP BY 1"),
+    "impact": (lambda g: iterate.impact(g, 7, 6), WITH + ", r(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM r JOIN edges ON dst = r.node_id WHERE depth < 6) SELECT depth, count(*) AS callers FROM (SELECT node_id, min(depth) AS depth FROM r GROUP BY 1) WHERE depth > 0 GROUP BY 1"),
+    "cycles": (iterate.cycles, None),
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The entry points of the fixture graph."""
+    return ops.entry_kinds(graph(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = {name: (lambda spark, sf_dir, f=f: f(graph(spark, sf_dir))) for name, (f, _) in GRAPH.items()}
+    return found | {"crate_lines": _line_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {name: sql for name, (_, sql) in GRAPH.items() if sql}
+    return found | {"crate_lines": "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS lines FROM documents"}
