@@ -35,13 +35,15 @@ from .common import partitions, shared_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-CACHE_PIECES = 150_000
+CACHE_PIECES = 250_000
+CACHE_UNITS = 800_000
 _PAIR = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?#$%&*|"
 #: The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256 on.
 _PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTS)}
+_SPACE = {0: "", -1: chr(_LETTERS[32])}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -102,11 +104,12 @@ class Encoder:
     def _unit(self, unit: str) -> bytes:
         found = self.units.get(unit)
         if found is None:
-            if len(self.units) >= 400_000:
+            if len(self.units) >= CACHE_UNITS:
                 self.units = {}
             word = unit[1:] if unit[0] == " " else unit
             if word.isalpha():  # one token of the pattern: the model alone, on the bytes' letters
-                ids = [x.id for x in self.tokenizer.model.tokenize(unit.encode().decode("latin-1").translate(_LETTERS))]
+                letters = _SPACE[len(word) - len(unit)] + word if word.isascii() else unit.encode().decode("latin-1").translate(_LETTERS)
+                ids = [x.id for x in self.tokenizer.model.tokenize(letters)]
             else:
                 ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
             found = self.units[unit] = array("I", ids).tobytes()
