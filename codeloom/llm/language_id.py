@@ -3,7 +3,7 @@
 Each language has a tree of byte contexts up to order three with frozen counts. A byte costs the
 negative logarithm of its share in the longest context known; a byte new to a context costs that
 context's escape (distinct bytes over total and distinct) and goes on in the next shorter one, down
-to one in 256. A text's code length under each language is the exact sum over all its bytes, and the
+to one in 256; escapes exclude nothing, so the lengths meet Kraft's inequality. A text's code length under each language is the exact sum over all its bytes, and the
 shortest wins; the score is its posterior under equal priors.
 
 Counts are taken by partition from at most about ``TRAIN_DOCS`` documents of a language, chosen by a
