@@ -12,9 +12,11 @@ its segments in the table of segments, and the full distance of every match is v
   fingerprints differ by two bits or fewer exactly if their balls of radius one meet, so there each
   class names the 65 points of its ball and is linked to the smallest class at each point: linear
   work, the same components.
-* Wider fingerprints (``near_duplicates(..., words=3)``) take a ball of radius one around each of 8
-  segments and link up to ``max_bits``; candidates beyond the pigeonhole bound are found with the
-  probability given in the README.
+* Wider fingerprints (``wide_links``) are cut into 32-bit segments. The ball around a segment flips any
+  of its ``WEAK`` bits whose counts are nearest to one half, as those are the bits that differ between
+  near copies. Links beyond the reach of every ball are found with the probability in the README.
+  A group of thousands of near copies is first tied to a few pivots of each segment value; after that
+  only pairs from different components are looked for, so that no group is paired within itself.
 
 Components come from alternating large-star and small-star rounds over written tables.
 
@@ -36,22 +38,34 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, texts_of
+from .common import mix, settle, texts_of
 
 SEED = 42
 MAX_BUCKET = 1_000
+WEAK = 4
+PIVOTS = 3
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _PLACES = (np.arange(8) * 256).astype(np.int64)
 
 
-def majority(h: np.ndarray) -> int:
-    """Bit by bit, whether over half of the hashes have it."""
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
     counts = np.zeros((8, 256), np.int64)
     for k in range(0, len(h), 1 << 17):
         places = h[k : k + (1 << 17)].view(np.uint8).reshape(-1, 8) + _PLACES
         counts += np.bincount(places.ravel(), minlength=2048).reshape(8, 256)
-    bits = (counts @ _BITS).ravel() * 2 > len(h)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+    return (counts @ _BITS).ravel()
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit by bit, whether over half of the hashes have it."""
+    return int(np.packbits(bit_counts(h) * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def weak_bits(counts: np.ndarray, n: int) -> int:
+    """The places of the ``WEAK`` bits nearest to one half in each 32-bit half, five bits each."""
+    order = np.argsort(np.abs(counts * 2 - n).reshape(2, 32), axis=1, kind="stable")[:, :WEAK].ravel()
+    return sum(int(x) << (5 * k) for k, x in enumerate(order))
 
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
@@ -71,71 +85,88 @@ def _fingerprints(width: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((words, len(batch)), np.uint64)
+            weak = np.zeros((words if words > 1 else 0, len(batch)), np.int64)
             for k, text in enumerate(texts_of(batch["text"])):
-                text = text.lower()  # bytes: A-Z only
-                for s in range(words):
-                    h = shingle_hashes(text, width, SEED + s)
-                    if len(h):
-                        out[s, k] = majority(h)
-            yield pa.record_batch([batch["doc_id"], *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", *(f"w{s}" for s in range(words))])
+                h = shingle_hashes(text.lower(), width, SEED)  # bytes: A-Z only
+                for s in range(words if len(h) else 0):
+                    own = h if s == 0 else mix(h + np.uint64(s * 0x9E3779B97F4A7C15 % 2**64))
+                    counts = bit_counts(own)
+                    out[s, k] = np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]
+                    if words > 1:
+                        weak[s, k] = weak_bits(counts, len(h))
+            columns = [*(pa.array(x.view(np.int64)) for x in out), *map(pa.array, weak)]
+            yield pa.record_batch([batch["doc_id"], *columns], names=["doc_id", *(f"w{s}" for s in range(words)), *(f"weak{s}" for s in range(len(weak)))])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, w0, w1, ...) for each row."""
+    """(doc_id, w0, w1, ...) for each row; with several words also their weak bits (weak0, weak1, ...)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"w{s} long" for s in range(words))
+    more = [f"weak{s} long" for s in range(words)] if words > 1 else []
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join([*(f"w{s} long" for s in range(words)), *more])
     return rows.mapInArrow(_fingerprints(shingle, words), schema)
 
 
-def _segments(words: int, per_word: int) -> list[tuple[int, int, int]]:
-    """(word, shift, bits) of each segment."""
-    cuts = [64 * k // per_word for k in range(per_word + 1)]
-    return [(w, a, b - a) for w in range(words) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def _half(k: int, word: str = "w0") -> Column:
+    """The k-th 32-bit half of a fingerprint, of its word, with its number above it."""
+    return F.shiftrightunsigned(F.col(word), 32 * (k % 2)).bitwiseAND((1 << 32) - 1) + F.lit(k << 40)
 
 
-def _slot(k: int, segment: tuple[int, int, int]) -> Column:
-    """The segment's value with its number above it."""
-    word, shift, bits = segment
-    return F.shiftrightunsigned(F.col(f"w{word}"), shift).bitwiseAND((1 << bits) - 1) + F.lit(k << 40)
+def links(classes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """(a, b) with a < b: one-word class ids, the fingerprints themselves, that differ by two bits or
+    fewer. Their components are exact."""
+    slots = [_half(0), _half(1)]
+    balls = [[0, *(1 << i for i in range(32))], [0]]  # by the refined pigeonhole bound
+    tables = classes.select("id", F.explode(F.array(*slots)).alias("slot"))
+    probes = classes.select("id", F.explode(F.array(*(s.bitwiseXOR(F.lit(m)) for s, ball in zip(slots, balls, strict=True) for m in ball))).alias("slot"))
+    found = []
+    # A pair at one bit in a wider ball is found through either side; hot values leave the pairing.
+    hot = settle(tables.groupBy("slot").count().where(F.col("count") > max_bucket).select("slot"), "hot-slots")
+    if not hot.isEmpty():
+        near = probes.join(hot, "slot", "left_semi").select("id").unionByName(tables.join(hot, "slot", "left_semi").select("id")).distinct()
+        points = near.select("id", F.explode(F.array(F.col("id"), *(F.col("id").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)))).alias("point"))
+        roots = points.groupBy("point").agg(F.min("id").alias("a"))
+        found.append(points.join(roots, "point").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")))
+        tables = tables.join(hot, "slot", "left_anti")
+    pairs = probes.select("slot", F.col("id").alias("a")).join(tables.select("slot", F.col("id").alias("b")), "slot").where("a < b").select("a", "b")
+    found.append(pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _distance(a: str, b: str, words: int) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.w{s}").bitwiseXOR(F.col(f"{b}.w{s}"))) for s in range(words)])
+def _verified(pairs: DataFrame, classes: DataFrame, max_bits: int, words: int) -> DataFrame:
+    """Of distinct pairs (a, b) of class ids those whose fingerprints differ by ``max_bits`` or fewer."""
+    of = lambda end: classes.select(F.col("id").alias(end), *(F.col(f"w{s}").alias(f"{end}{s}") for s in range(words)))
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in range(words)])
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(bits <= max_bits).select("a", "b")
 
 
-def links(classes: DataFrame, max_bits: int = 2, words: int = 1, per_word: int = 2, radius: int = 1, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """(a, b) with a < b: class ids whose fingerprints differ by ``max_bits`` or fewer.
+def wide_links(classes: DataFrame, max_bits: int, words: int) -> DataFrame:
+    """(a, b) with a < b: class ids whose fingerprints differ by ``max_bits`` or fewer, such that every
+    pair that shares a ball point is linked or already in one component of the result.
 
-    ``classes`` has ``id`` and the words. For the default settings its components are exact.
+    ``classes`` has ``id``, the words and their weak bits.
     """
-    segments = _segments(words, per_word)
-    balls = [[0, *(1 << i for i in range(bits))] if radius else [0] for _, _, bits in segments]
-    exact = words == 1 and max_bits == 2 and per_word == 2 and radius == 1
-    if exact:
-        balls[1] = [0]  # by the refined pigeonhole bound
-    slots = [_slot(k, x) for k, x in enumerate(segments)]
-    tables = classes.select("id", F.explode(F.array(*slots)).alias("slot"))
-    probes = classes.select("id", F.explode(F.array(*(s.bitwiseXOR(F.lit(m)) for s, ball in zip(slots, balls, strict=True) for m in ball))).alias("slot"))
-    found = []
-    if exact:
-        # A pair at one bit in a wider ball is found through either side; hot values leave the pairing.
-        hot = settle(tables.groupBy("slot").count().where(F.col("count") > max_bucket).select("slot"), "hot-slots")
-        if not hot.isEmpty():
-            near = probes.join(hot, "slot", "left_semi").select("id").unionByName(tables.join(hot, "slot", "left_semi").select("id")).distinct()
-            points = near.select("id", F.explode(F.array(F.col("id"), *(F.col("id").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)))).alias("point"))
-            roots = points.groupBy("point").agg(F.min("id").alias("a"))
-            found.append(points.join(roots, "point").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")))
-            tables = tables.join(hot, "slot", "left_anti")
-    pairs = probes.select("slot", F.col("id").alias("a")).join(tables.select("slot", F.col("id").alias("b")), "slot").where("a < b").select("a", "b")
-    if words == 1:  # the id is the fingerprint itself
-        found.append(pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
-    else:
-        left = pairs.distinct().join(classes.alias("x"), F.col("a") == F.col("x.id"))
-        both = left.join(classes.alias("y"), F.col("b") == F.col("y.id"))
-        found.append(both.where(_distance("x", "y", words) <= max_bits).select("a", "b"))
-    return reduce(DataFrame.unionByName, found).distinct()
+    places = [_half(k, f"w{k // 2}") for k in range(2 * words)]
+    tables = settle(classes.select("id", F.explode(F.array(*places)).alias("slot")), "slots")
+    # Pivots: the same few classes win at most of the values that a group shares.
+    least = [F.min_by("id", F.xxhash64("id", F.lit(r))).alias(f"p{r}") for r in range(PIVOTS)]
+    pivots = tables.groupBy("slot").agg(F.count("*").alias("n"), *least).where("n > 1").select("slot", F.array_distinct(F.array(*(f"p{r}" for r in range(PIVOTS)))).alias("pivots"))
+    spokes = tables.join(pivots, "slot").select("id", F.explode("pivots").alias("pivot")).where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    stars = settle(_verified(spokes, classes, max_bits, words), "stars")
+    roots = settle(components(stars), "star-roots")
+    # From here on only pairs of different components count.
+    rooted = lambda df: df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    tables = rooted(tables)
+    bit = lambda k, j: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(weak{k // 2}, {5 * (WEAK * (k % 2) + j)}) & 31 AS int))")
+    seeds = rooted(classes).select("id", "root", F.explode(F.array(*(F.struct(places[k].alias("at"), *(bit(k, j).alias(f"f{j}") for j in range(WEAK))) for k in range(2 * words)))).alias("s"))
+    masks = [reduce(lambda x, j: x.bitwiseXOR(F.col(f"s.f{j}")), [j for j in range(WEAK) if m >> j & 1], F.col("s.at")) for m in range(1 << WEAK)]
+    probes = seeds.select("id", "root", F.explode(F.array(*masks)).alias("slot"))
+    groups = tables.select("slot", F.col("root").alias("other")).distinct()
+    met = probes.join(groups, "slot").where("root != other").select(F.col("id").alias("x"), "slot", "other")
+    pairs = met.join(tables.select("slot", F.col("root").alias("other"), F.col("id").alias("y")), ["slot", "other"])
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return stars.unionByName(_verified(pairs, classes, max_bits, words))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,14 +191,18 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def assign_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, words: int = 1, per_word: int = 2, radius: int = 1, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """(doc_id, w0, ..., component_id) for each row of ``docs``."""
+def assign_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, words: int = 1, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """(doc_id, w0, ..., component_id) for each row of ``docs``. One word links at two bits."""
+    if words == 1 and max_bits != 2:
+        raise ValueError("one-word fingerprints link at two bits")
     prints = settle(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
     names = [f"w{s}" for s in range(words)]
     number = F.col("w0") if words == 1 else F.xxhash64(*names)
     rows = prints.withColumn("id", number)
-    classes = settle(rows.groupBy("id", *names).agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("id", *names), max_bits, words, per_word, radius, max_bucket))
+    weak = [F.min(f"weak{s}").alias(f"weak{s}") for s in range(words)] if words > 1 else []
+    classes = settle(rows.groupBy("id", *names).agg(F.min("doc_id").alias("least"), *weak), "classes")
+    found = links(classes.select("id", "w0"), max_bucket) if words == 1 else wide_links(classes, max_bits, words)
+    roots = components(found)
     rooted = classes.select("id", "least").join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     rooted = settle(rooted, "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
@@ -177,10 +212,10 @@ def assign_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns.
 
-    The default settings are five-word shingles and three-word fingerprints linked up to 30 of 192
-    bits, where the expected overlap of the shingles is 0.8.
+    The default settings are five-word shingles and eight-word fingerprints linked up to 77 of 512
+    bits, the difference that is expected where 0.8 of the shingles are shared.
     """
-    settings = {"shingle": 5, "words": 3, "per_word": 3, "max_bits": 30} | settings
+    settings = {"shingle": 5, "words": 8, "max_bits": 77} | settings
     found = assign_components(docs, id_col, text_col, **settings)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])

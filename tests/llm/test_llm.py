@@ -125,6 +125,28 @@ def test_simhash_fingerprints(small, texts):
     assert got == {i: brute(t) for i, t in texts}
 
 
+def test_wide_simhash_against_all_pairs(spark):
+    """Components hold only verified links, hold a large group whole, and reach most near pairs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    docs = []
+    for base in range(30):
+        text = [word() for _ in range(150)]
+        for _ in range(80 if base == 0 else 3):  # one group of many near copies
+            own = list(text)
+            for _ in range(rng.randrange(3 if base == 0 else 4)):
+                own[rng.randrange(len(own))] = word()
+            docs.append((len(docs), " ".join(own), base))
+    df = spark.createDataFrame(docs, "doc_id long, text string, base long")
+    rows = simhash.assign_components(df, shingle=5, words=8, max_bits=77).collect()
+    prints = {r["doc_id"]: [r[f"w{s}"] % (1 << 64) for s in range(8)] for r in rows}
+    root = {r["doc_id"]: r["component_id"] for r in rows}
+    assert all(docs[root[i]][2] == base for i, _, base in docs)
+    assert len({root[i] for i, _, base in docs if base == 0}) == 1
+    near = [(a, b) for a in prints for b in prints if a < b and sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= 77]
+    assert sum(root[a] == root[b] for a, b in near) >= 0.99 * len(near) > 0
+
+
 def test_near_dedup_keeps_one(edge):
     assert sorted(r["doc_id"] for r in simhash.near_dedup(edge).collect()) == [1, 3, 6, 7]
 
