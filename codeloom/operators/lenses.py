@@ -109,3 +109,87 @@ def suggestions(found: DataFrame) -> DataFrame:
     rules = found.sparkSession.createDataFrame(ADVICE, "code string, base int, step int, cap int")
     n = found.groupBy("code").agg(F.count("*").alias("n"))
     return n.join(F.broadcast(rules), "code").select("code", "n", F.least(F.col("base") + F.col("step") * F.col("n"), F.col("cap")).cast("int").alias("priority"))
+
+
+#: The layer that a module segment names, innermost first; the last match of a path counts.
+LAYERS = [
+    "domain entities entity model models core",
+    "application app usecase use_case usecases service services logic",
+    "interface interfaces adapter adapters api presentation handler handlers controller controllers",
+    "infrastructure infra framework frameworks db database persistence repository repositories repo io net http web fs",
+]
+MVC = ["model models entity entities domain", "view views template templates component components", "controller controllers handler handlers route routes"]
+#: Words that speak for a kind of project.
+VERTICALS = {
+    "embedded": "embedded hal cortex gpio peripheral interrupt isr firmware rtic rtos microcontroller stm32 riscv nostd register mmio",
+    "game_engine": "bevy wgpu winit glam sprite ecs shader mesh texture frame vertex renderer physics collider entity gameloop",
+    "backend": "axum actix tokio hyper tonic sqlx diesel rocket warp router handler service repository grpc endpoint middleware database server",
+    "full_stack": "leptos yew dioxus sycamore seed dom html wasm component hydrate jsx props signal reactive viewmodel",
+}
+
+
+def layer(module_path: Column, layers: list[str]) -> Column:
+    """The index of the layer that the last matching segment names, else null."""
+    of = lambda x: reduce(lambda c, k: c.when(x.isin(layers[k].split()), k), range(1, len(layers)), F.when(x.isin(layers[0].split()), 0))
+    return F.try_element_at(F.filter(F.transform(F.split(module_path, "::"), of), lambda k: k.isNotNull()), F.lit(-1))
+
+
+def _across(g: Graph, layers: list[str]) -> DataFrame:
+    end = lambda name, new: g.defs.select(F.col("node_id").alias(name), layer(F.col("module_path"), layers).alias(new)).where(F.col(new).isNotNull())
+    return g.edges.where("src <> dst").join(end("src", "a"), "src").join(end("dst", "b"), "dst")
+
+
+def layering(g: Graph, style: str = "clean") -> DataFrame:
+    """One diagnostic for each edge from an inner layer outward; in mvc from a model to the others."""
+    code, layers, on = ("mvc_violation", MVC, "a = 0 and b > 0") if style == "mvc" else ("layering_violation", LAYERS, "a < b")
+    return _across(g, layers).where(on).select(F.lit(code).alias("code"), F.lit("medium").alias("severity"), F.col("src").alias("node_id"), F.col("dst").cast("double").alias("value"))
+
+
+def vertical_scores(g: Graph) -> DataFrame:
+    """(vertical, score): hits of each vertical's words in qualified names and module paths."""
+    words = g.nodes.sparkSession.createDataFrame([(v, w) for v, text in VERTICALS.items() for w in text.split()], "vertical string, word string")
+    tokens = g.nodes.select(F.explode(F.split(F.lower(F.concat_ws(" ", "qualified_name", "module_path")), "[^a-z0-9]+")).alias("word"))
+    hits = tokens.groupBy("word").count().join(F.broadcast(words), "word").groupBy("vertical").agg(F.sum("count").alias("score"))
+    return words.select("vertical").distinct().join(hits, "vertical", "left").select("vertical", F.coalesce("score", F.lit(0)).alias("score"))
+
+
+def detect_vertical(g: Graph) -> str:
+    """The vertical with the highest score, if that is 3 or more and no other has it."""
+    top = vertical_scores(g).orderBy(F.desc("score")).limit(2).collect()
+    return top[0]["vertical"] if top[0]["score"] >= 3 and top[0]["score"] > top[1]["score"] else "unknown"
+
+
+def _members(g: Graph) -> DataFrame:
+    """(node_id, component, size) of each cycle; a function that only calls itself is one of size 1."""
+    from .iterate import cycles
+
+    found = cycles(g)
+    loops = g.edges.where("src = dst").select(F.col("src").alias("node_id")).distinct().join(found, "node_id", "left_anti").withColumn("component", F.col("node_id"))
+    rows = found.unionByName(loops)
+    return rows.join(rows.groupBy("component").agg(F.count("*").alias("size")), "component")
+
+
+def cycle_diagnostics(g: Graph) -> DataFrame:
+    """One diagnostic a cycle: its head has most callers; small or one-scope cycles weigh little."""
+    rows = _members(g).join(g.nodes.select("node_id", "qualified_name", "module_path"), "node_id").join(degrees(g).select("node_id", "fan_in"), "node_id")
+    best = F.min_by("node_id", F.struct(-F.col("fan_in"), "qualified_name"))
+    one = rows.groupBy("component").agg(best.alias("node_id"), F.count("*").alias("n"), F.countDistinct("module_path").alias("scopes"))
+    level = F.when((F.col("n") == 1) | (F.col("scopes") == 1), "low").when((F.col("n") >= 6) | (F.col("scopes") >= 3), "high").otherwise("medium")
+    return _rule(one, "cycle", F.lit(True), level, F.col("n"))
+
+
+def recursion_cycles(g: Graph) -> DataFrame:
+    """One diagnostic for each member of a cycle of two or more."""
+    return _rule(_members(g), "recursion_cycle", F.col("size") >= 2, F.when(F.col("size") >= 4, "high").otherwise("medium"), F.col("size"))
+
+
+def cyclicity(g: Graph) -> DataFrame:
+    """One row: the share of all nodes that are on a cycle."""
+    return _members(g).agg(F.count("*").alias("n")).crossJoin(g.nodes.agg(F.count("*").alias("total"))).select(F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(0.0).alias("cyclicity"))  # one row each
+
+
+def god_types(g: Graph, methods: int = 40, lines: int = 1500) -> DataFrame:
+    """Scopes whose methods, tests left out, are many or long."""
+    own = g.nodes.where("kind = 'method' and not is_test")
+    sums = own.groupBy("module_path").agg(F.count("*").alias("methods"), F.sum("lines_of_code").alias("lines"))
+    return sums.where((F.col("methods") >= methods) | (F.col("lines") >= lines))

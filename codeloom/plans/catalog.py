@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions import text
+from codeloom.operators import flows, iterate, lenses
 from codeloom.operators import graph as ops
-from codeloom.operators import iterate, lenses
 from codeloom.operators.graph import Graph
+from codeloom.sources import export
+from codeloom.streaming import incremental
 
 from .fixture import WITH, graph
 
@@ -69,6 +72,23 @@ def _summary(g: Graph) -> DataFrame:
     return n.crossJoin(e).crossJoin(d)  # one row each
 
 
+def _tested_layers(g: Graph) -> DataFrame:
+    """Layering of the graph with the segments m0 to m3 renamed to one of each layer."""
+    path = F.col("module_path")
+    for k, words in enumerate(lenses.LAYERS):
+        path = F.regexp_replace(path, f"::m{k}(?=::|$)", "::" + words.split()[0])
+    return lenses.layering(Graph(g.nodes.withColumn("module_path", path), g.edges))
+
+
+TESTED_LAYERS = "l AS (SELECT node_id, CASE split_part(module_path, '::', 2) WHEN 'm0' THEN 0 WHEN 'm1' THEN 1 WHEN 'm2' THEN 2 WHEN 'm3' THEN 3 END AS k FROM nodes WHERE kind <> 'external')"
+RUN_ROOTS = """, rr AS (SELECT node_id, CASE WHEN name = 'main' THEN 'program' ELSE 'exported' END AS kind, 0::BIGINT AS spawners, false AS test_only FROM defs WHERE name = 'main' OR (fan_in = 0 AND NOT is_test AND is_exported)
+  UNION ALL SELECT dst, 'spawned', count(DISTINCT src), bool_and(is_test) FROM edges JOIN nodes ON node_id = src WHERE edges.kind = 'spawn' GROUP BY 1) """
+TIERS = """, tiers AS (SELECT node_id, t AS tier_rank, ['program', 'exported', 'spawned', 'root', 'test'][t + 1] AS tier FROM (
+  SELECT node_id, t, row_number() OVER (PARTITION BY node_id ORDER BY late, t) AS r FROM (
+    SELECT node_id, CASE WHEN kind = 'program' THEN 0 WHEN kind = 'exported' THEN 1 WHEN test_only THEN 4 ELSE 2 END AS t, 0 AS late FROM rr
+    UNION ALL SELECT node_id, CASE WHEN is_test THEN 4 ELSE 3 END, 1 FROM defs WHERE name <> 'main' AND fan_in = 0 AND (is_test OR NOT is_exported))) WHERE r = 1) """
+LEVELS = "lv(node_id, level) AS (SELECT node_id, 0 FROM nodes WHERE kind = 'external' AND starts_with(qualified_name, 'std::fs::') UNION SELECT src, level + 1 FROM lv JOIN edges ON dst = lv.node_id JOIN nodes n ON n.node_id = lv.node_id WHERE level < 4 AND edges.kind <> 'spawn' AND NOT n.is_async)"
+
 DIAGNOSTICS = _lens(*COMPLEXITY, *HAZARDS, IMPURE) + " UNION ALL " + _loops("n_plus_one", "medium", "std::fs::%") + " UNION ALL " + _loops("clone_in_loop", "low", "Vec%::clone")
 
 #: name: (operator on the graph, SQL or None)
@@ -111,9 +131,47 @@ SELECT a.node_id, count(src) AS edges FROM a LEFT JOIN (SELECT * FROM e WHERE ds
     "reachable": (lambda g: iterate.reachable(g, [0, 1], 8), WITH + ", r(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id IN (0, 1) UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = r.node_id WHERE depth < 8) SELECT node_id, min(depth) AS depth FROM r GROUP BY 1"),
     "impact": (lambda g: iterate.impact(g, 7, 6), WITH + ", r(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM r JOIN edges ON dst = r.node_id WHERE depth < 6) SELECT depth, count(*) AS callers FROM (SELECT node_id, min(depth) AS depth FROM r GROUP BY 1) WHERE depth > 0 GROUP BY 1"),
     "cycles": (iterate.cycles, None),
+    "lens_layering": (_tested_layers, f"{WITH}, {TESTED_LAYERS} SELECT 'layering_violation' AS code, 'medium' AS severity, src AS node_id, dst::DOUBLE AS value FROM edges JOIN l a ON a.node_id = src JOIN l b ON b.node_id = dst WHERE src <> dst AND a.k < b.k"),
+    "vertical_scores": (lenses.vertical_scores, WITH + f", v AS (SELECT * FROM (VALUES {', '.join(str((v, w)) for v, words in lenses.VERTICALS.items() for w in words.split())}) t(vertical, word)), t AS (SELECT unnest(regexp_split_to_array(lower(concat(qualified_name, ' ', module_path)), '[^a-z0-9]+')) AS word FROM nodes) SELECT v.vertical, count(t.word)::BIGINT AS score FROM v LEFT JOIN t USING (word) GROUP BY 1"),
+    "run_roots": (flows.run_roots, DEGREES + RUN_ROOTS + "SELECT node_id, kind, spawners, test_only FROM rr"),
+    "entry_tiers": (flows.entry_tiers, DEGREES + RUN_ROOTS + TIERS + "SELECT node_id, tier, tier_rank FROM tiers"),
+    "flows_from_entries": (lambda g: flows.flows_from_entries(g, 7, 6), DEGREES + RUN_ROOTS + TIERS.rstrip(", \n") + ", u(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM u JOIN edges ON dst = u.node_id WHERE depth < 6), d AS (SELECT node_id, min(depth) AS hops FROM u GROUP BY 1) SELECT node_id, tier, hops, row_number() OVER (ORDER BY tier_rank, hops, qualified_name)::INT AS rank FROM tiers JOIN d USING (node_id) JOIN nodes USING (node_id)"),
+    "reach_counts": (lambda g: flows.reach_counts(g, g.nodes.where("name = 'main'"), 12), WITH + ", r(root, node_id, depth) AS (SELECT node_id, node_id, 0 FROM nodes WHERE name = 'main' UNION SELECT root, dst, depth + 1 FROM r JOIN edges ON src = r.node_id WHERE depth < 12) SELECT root AS node_id, count(DISTINCT CASE WHEN nodes.kind <> 'external' AND root <> r.node_id THEN r.node_id END) AS reach FROM r JOIN nodes ON nodes.node_id = r.node_id GROUP BY 1"),
+    "blocking_levels": (lambda g: flows.blocking_levels(g, 4), WITH + f", {LEVELS} SELECT node_id, min(level) AS level FROM lv GROUP BY 1"),
+    "lens_async_blocking": (lambda g: flows.async_blocking(g, 4), WITH + f", {LEVELS}, b AS (SELECT node_id, min(level) AS level FROM lv GROUP BY 1) SELECT 'async_blocking' AS code, CASE WHEN level = 1 THEN 'high' ELSE 'medium' END AS severity, node_id, level::DOUBLE AS value FROM b JOIN nodes USING (node_id) WHERE is_async AND nodes.kind <> 'external' AND level > 0"),
+    "impact_callers": (lambda g: flows.impact_callers(g, 7, 4), DEGREES + ", u(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM u JOIN edges ON dst = u.node_id WHERE depth < 4), d AS (SELECT node_id, min(depth) AS depth FROM u GROUP BY 1) SELECT d.node_id, d.depth, arg_min(p.node_id, n.qualified_name) AS via, any_value(CASE WHEN x.name = 'main' THEN 'main' WHEN x.fan_in > 0 THEN NULL WHEN x.is_test THEN 'test' WHEN x.is_exported THEN 'exported' WHEN x.is_pub THEN 'public' ELSE 'root' END) AS entry FROM d JOIN edges e ON e.src = d.node_id JOIN d p ON p.node_id = e.dst AND p.depth = d.depth - 1 JOIN nodes n ON n.node_id = p.node_id JOIN defs x ON x.node_id = d.node_id GROUP BY 1, 2"),
+    "shortest_paths": (lambda g: flows.shortest_paths(g, [0, 1], 7).select(F.array_join("path", ">").alias("path")), None),
+    "call_tree": (lambda g: flows.call_tree(g, 5), None),
+    "hot_io": (flows.hot_io, None),
+    "ranked_roots": (flows.ranked_roots, None),
+    "suggest": (lambda g: text.suggest(g.defs, "palte"), None),
+    "lens_cycles": (lenses.cycle_diagnostics, None),
+    "lens_recursion": (lenses.recursion_cycles, None),
+    "cyclicity": (lenses.cyclicity, None),
+    "god_types": (lambda g: lenses.god_types(g, 3, 150), WITH + "SELECT module_path, count(*) AS methods, sum(lines_of_code)::BIGINT AS lines FROM nodes WHERE kind = 'method' AND NOT is_test GROUP BY 1 HAVING count(*) >= 3 OR sum(lines_of_code) >= 150"),
+    "export_dot": (lambda g: export.dot(g).where("part = 2").select("line"), WITH + "SELECT concat('  ', src, ' -> ', dst, ' [label=\"', kind, '\"];') AS line FROM edges"),
+    "export_graphml": (lambda g: export.graphml(g).where("part = 2").select("line"), WITH + "SELECT concat('    <edge id=\"e', src, '-', dst, '-', kind, '\" source=\"', src, '\" target=\"', dst, '\"><data key=\"ekind\">', kind, '</data></edge>') AS line FROM edges"),
+    "export_json": (export.json_rows, None),
 }
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+
+
+def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two lines of every document with one line around."""
+    sources = _sources(spark, sf_dir)
+    return text.snippets(sources.select("path", F.lit(1).alias("start"), F.lit(2).alias("stop")), sources, 1)
+
+
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against a cache in which every third has another text."""
+    sources = _sources(spark, sf_dir)
+    cached = sources.select("path", F.when(F.col("path").cast("long") % 3 == 0, "old").otherwise(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("hash"))
+    return incremental.stats(sources, cached)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entry points of the fixture graph."""
     return ops.entry_kinds(graph(spark, sf_dir))
@@ -121,9 +179,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: (lambda spark, sf_dir, f=f: f(graph(spark, sf_dir))) for name, (f, _) in GRAPH.items()}
-    return found | {"crate_lines": _line_counts}
+    return found | {"crate_lines": _line_counts, "snippets": _snippets, "incremental_stats": _incremental}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: sql for name, (_, sql) in GRAPH.items() if sql}
-    return found | {"crate_lines": "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS lines FROM documents"}
+    return found | {"crate_lines": "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS lines FROM documents",
+        "snippets": "WITH x AS (SELECT doc_id::VARCHAR AS path, string_split(text, chr(10)) AS parts FROM documents), y AS (SELECT path, unnest(range(1, len(parts) + 1))::INT AS number, unnest(parts) AS line FROM x) SELECT path, 1 AS start, number, line FROM y WHERE number BETWEEN 0 AND 3",
+        "incremental_stats": "SELECT count(*) AS total, count(*) FILTER (doc_id % 3 <> 0) AS reused, count(*) FILTER (doc_id % 3 = 0) AS reparsed FROM documents",
+    }
