@@ -17,6 +17,10 @@ its segments in the table of segments, and the full distance of every match is v
   near copies. Links beyond the reach of every ball are found with the probability in the README.
   A group of thousands of near copies is first tied to a few pivots of each segment value; after that
   only pairs from different components are looked for, so that no group is paired within itself.
+* ``near_dedup`` links by exact shingle similarity instead. At 0.8 about 77 of 512 bits differ, more for
+  short texts, and no ball of a bearable size reaches that. Candidates share one of ``BANDS`` MinHash
+  bands, whose chance depends on the similarity alone and not on the length; pivots and later rounds are
+  as above, and every candidate's shingle sets are compared whole.
 
 Components come from alternating large-star and small-star rounds over written tables.
 
@@ -44,6 +48,9 @@ SEED = 42
 MAX_BUCKET = 1_000
 WEAK = 4
 PIVOTS = 3
+#: MinHash: a pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
+BANDS, ROWS = 24, 4
+_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))[:, None]
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _PLACES = (np.arange(8) * 256).astype(np.int64)
 
@@ -209,13 +216,102 @@ def assign_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.join(named, "id", "left").select("doc_id", *names, "component_id")
 
 
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """One key for each band of ``ROWS`` MinHash values of a set of shingle hashes; none for no shingles."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for k in range(0, len(h), 1 << 12):
+        np.minimum(least, mix(h[k : k + (1 << 12)] ^ _SEEDS).min(1), out=least)
+    least = least.reshape(BANDS, ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
+    return keys
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)))
+
+
+def _sketches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, slots = [], [], []
+            for text in texts_of(batch["text"]):
+                h = np.unique(shingle_hashes(text.lower(), width, SEED))
+                ids.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                sizes.append(len(h))
+                slots.append(band_keys(h))
+            yield pa.record_batch([batch["doc_id"], batch["mark"], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(slots)], names=["doc_id", "mark", "id", "n", "slots"])
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text.lower(), width, SEED)) for text in texts_of(batch["text"])]
+            yield pa.record_batch([batch["id"], _lists(sets)], names=["id", "shingles"])
+
+    return run
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b) of class ids those that share ``percent`` of their shingles; the sets are compared whole."""
+    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    marks = classes.join(named, "id", "left_semi").select("id", "mark")
+    read = texts.join(marks, "mark").dropDuplicates(["mark"]).select("id", "text")
+    sets = settle(read.mapInArrow(_sets(shingle), "id long, shingles array<long>"), "sets")
+    of = lambda end: sets.select(F.col("id").alias(end), F.col("shingles").alias(f"{end}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    enough = both * (100 + percent) >= (F.size("a_set") + F.size("b_set")) * percent
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(enough).select("a", "b")
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b) with a < b: class ids with a shingle similarity of ``percent`` or more, such that every such
+    pair that shares a band is linked or already in one component of the result.
+
+    ``classes`` has ``id``, ``n``, ``slots`` and the ``mark`` of one text; ``texts`` has ``mark`` and ``text``.
+    """
+    tables = settle(classes.select("id", "n", F.explode("slots").alias("slot")), "slots")
+    sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # else the similarity is lower
+    ordered = lambda df: df.where(sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # Pivots: the same few classes win at most of the bands that a group shares.
+    least = [F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(r))).alias(f"p{r}") for r in range(PIVOTS)]
+    pivots = tables.groupBy("slot").agg(F.count("*").alias("size"), *least).where("size > 1").select("slot", F.array_distinct(F.array(*(f"p{r}" for r in range(PIVOTS)))).alias("pivots"))
+    spokes = tables.join(pivots, "slot").select(F.col("id").alias("x"), "n", F.explode("pivots").alias("p")).select("x", "n", F.col("p.id").alias("y"), F.col("p.n").alias("m")).where("x != y")
+    spokes = settle(ordered(spokes), "spokes")
+    stars = settle(_similar(spokes, classes, texts, shingle, percent), "stars")
+    roots = settle(components(stars), "star-roots")
+    # From here on only pairs of different components count.
+    tables = tables.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = tables.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("slot")
+    tables = settle(tables.join(mixed, "slot", "left_semi"), "mixed-slots")
+    groups = tables.select("slot", F.col("root").alias("other")).distinct()
+    met = tables.join(groups, "slot").where("root < other").select(F.col("id").alias("x"), "n", "slot", "other")
+    pairs = ordered(met.join(tables.select("slot", F.col("root").alias("other"), F.col("id").alias("y"), F.col("n").alias("m")), ["slot", "other"]))
+    pairs = settle(pairs.join(spokes, ["a", "b"], "left_anti"), "pairs")
+    return stars.unionByName(_similar(pairs, classes, texts, shingle, percent))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, mark, root) for each row of ``docs``: rows of one component of near copies share ``root``."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = settle(texts.mapInArrow(_sketches(shingle), f"doc_id {kind}, mark long, id long, n long, slots array<long>"), "sketches")
+    classes = settle(rows.groupBy("id").agg(F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("slots").alias("slots")), "classes")
+    roots = components(similar_links(classes, texts.select("mark", "text"), shingle, percent))
+    return rows.join(roots, "id", "left").select("doc_id", "mark", F.coalesce("root", "id").alias("root"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns.
 
-    The default settings are five-word shingles and eight-word fingerprints linked up to 77 of 512
-    bits, the difference that is expected where 0.8 of the shingles are shared.
+    Documents are linked if they share 0.8 or more of their distinct five-word shingles, counted exactly.
     """
-    settings = {"shingle": 5, "words": 8, "max_bits": 77} | settings
-    found = assign_components(docs, id_col, text_col, **settings)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    found = settle(similar_components(docs, id_col, text_col, **settings), "near-rows")
+    kept = found.groupBy("root").agg(F.min("doc_id").alias("_kept_id")).select("_kept_id").distinct()
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])

@@ -147,6 +147,24 @@ def test_wide_simhash_against_all_pairs(spark):
     assert sum(root[a] == root[b] for a, b in near) >= 0.99 * len(near) > 0
 
 
+def test_near_dedup_links_every_pair_at_four_fifths(spark):
+    """Short and long texts with one word appended or replaced, at 0.8 and just below."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    docs, linked = [], 0
+    for n in [8, 9, 10, 12, 14, 40, 48, 60, 100, 150] * 6:
+        text = [word() for _ in range(n)]
+        own = [*text, word()]  # n - 4 of n - 3 shingles
+        if n >= 40:
+            own[n // 2] = word()  # n - 9 of n + 2
+        sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (text, own)]
+        linked += 5 * len(sets[0] & sets[1]) >= 4 * len(sets[0] | sets[1])
+        docs += [(len(docs), " ".join(text)), (len(docs) + 1, " ".join(own))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert 0 < linked < len(docs) // 2
+    assert simhash.near_dedup(df).count() == len(docs) - linked
+
+
 def test_near_dedup_keeps_one(edge):
     assert sorted(r["doc_id"] for r in simhash.near_dedup(edge).collect()) == [1, 3, 6, 7]
 
