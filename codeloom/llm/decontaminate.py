@@ -51,6 +51,11 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``docs``."""
+    return _marked(docs, benchmark, id_col, text_col, item_col, item_text_col, span).drop("mark")
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10) -> DataFrame:
+    """``contamination`` with the mark of each row's id and text."""
     items = settle(benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0).withColumn("class", F.sha2(F.array_join("words", " "), 256)), "items")
     classes = items.select("class", "words").dropDuplicates(["class"])
     lengths = sorted(r[0] for r in classes.select(F.least(F.size("words"), F.lit(span))).distinct().collect())  # at most ``span`` numbers
@@ -89,7 +94,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = settle(found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "n_hit", "ids"), "found")
     out = scan.where("place is null").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+    return out.select("doc_id", "mark", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def _around(n: int, k: int):
@@ -113,7 +118,7 @@ def covered_on(a: DataFrame, b: DataFrame) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` without a benchmark window, with all their columns.
 
-    Of rows that share an id, all go if one is contaminated.
+    Rows are told apart by id and text: clean texts stay, whatever shares their id.
     """
-    bad = contamination(docs, benchmark, id_col, text_col, **settings).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")), "left_anti")
+    bad = _marked(docs, benchmark, id_col, text_col, **settings).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("mark").alias("_bad_mark")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[id_col], docs[text_col]) == F.col("_bad_mark")), "left_anti")

@@ -308,10 +308,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns.
+    """One document of each component, with all its columns: of the smallest id, null last, then the smallest text hash.
 
     Documents are linked if they share 0.8 or more of their distinct five-word shingles, counted exactly.
+    Rows are told apart by id and text, so other texts under the same id, or without one, stay.
     """
     found = settle(similar_components(docs, id_col, text_col, **settings), "near-rows")
-    kept = found.groupBy("root").agg(F.min("doc_id").alias("_kept_id")).select("_kept_id").distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")).alias("k"))
+    kept = first.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.mark").alias("_kept_mark"))
+    rows = docs.withColumn("_mark", F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_mark"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_mark"]).drop("_mark")

@@ -165,6 +165,15 @@ def test_near_dedup_links_every_pair_at_four_fifths(spark):
     assert simhash.near_dedup(df).count() == len(docs) - linked
 
 
+def test_shared_and_null_ids_keep_their_own_texts(spark):
+    rows = [(None, "one two three four five six"), (None, "seven eight nine ten eleven"), (5, "red green blue white black"), (5, "north south east west up"), (None, "one two three four five six"), (5, "red green blue white black"), (None, "North South East West Up")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, {rows[0], rows[1], rows[2], rows[3]}))
+    assert sorted(str(tuple(r)) for r in simhash.near_dedup(df).collect()) == want
+    bench = spark.createDataFrame([("i", "seven eight nine ten"), ("j", "north south east west")], "item_id string, text string")
+    assert sorted(r["text"] for r in decontaminate.decontaminate(df, bench).collect()) == sorted([rows[0][1], rows[0][1], rows[2][1], rows[2][1]])
+
+
 def test_near_dedup_keeps_one(edge):
     assert sorted(r["doc_id"] for r in simhash.near_dedup(edge).collect()) == [1, 3, 6, 7]
 
