@@ -345,6 +345,26 @@ def test_forward_recursion_and_training():
     assert hmm.forward(model, texts).sum() > before
 
 
+def test_training_reads_whole_texts_and_all_frequent_tokens(spark):
+    rng = np.random.default_rng(3)
+    model = hmm.Model([b" ", b"a", b"b"], np.array([5.0, 9, 4]), 25, 8)
+    ids = [rng.integers(0, 4, 200).astype(np.int32)]
+    start, move, _ = hmm.expected(model, ids)
+    assert start.sum() == pytest.approx(1) and move.sum() == pytest.approx(199)
+    text = " ".join(f"t{k}" for k in range(100_500))
+    docs = spark.createDataFrame([(k, text) for k in range(hmm.MIN_COUNT)], "doc_id long, text string")
+    assert len(hmm.train(docs, hmm.token_counts(docs), rounds=0).tokens) == 100_501
+    # Two kinds of texts in turn, all longer than any start sample took.
+    docs = spark.createDataFrame([(k, ("a b " if k % 2 else "c d ") * 2000) for k in range(6)], "doc_id long, text string")
+    counts = hmm.token_counts(docs)
+    trained = hmm.train(docs, counts)
+    local, vocabulary = hmm.train(docs, counts, rounds=0), trained.vocabulary()
+    texts = [hmm._ids(vocabulary, r["text"].encode().split()) for r in docs.collect()]
+    for _ in range(hmm.ROUNDS):
+        local.update(*hmm.expected(local, texts))
+    assert np.allclose(trained.emit, local.emit, atol=1e-4) and np.allclose(trained.move, local.move, atol=1e-4)
+
+
 def test_language_model_counts(edge):
     rows = hmm.score_documents(edge).collect()
     train = [(t or "").lower().encode().split() + [b" "] for i, t, *_ in EDGE if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2]
