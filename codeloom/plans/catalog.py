@@ -47,6 +47,12 @@ def _places(g: Graph) -> DataFrame:
     return g.defs.where("node_id % 7 = 0").select("file", F.explode(F.array(F.col("start_line") + 3, F.col("end_line") + 30)).alias("line")).distinct()
 
 
+def _every_place(g: Graph) -> DataFrame:
+    """A place in the middle of, and one after, every definition."""
+    return g.defs.select("file", F.explode(F.array(F.col("start_line") + 3, F.col("end_line") + 30)).alias("line")).distinct()
+
+
+EVERY_PLACE = "places AS (SELECT DISTINCT file, unnest([start_line + 3, end_line + 30]) AS line FROM nodes WHERE kind <> 'external')"
 PLACES = "places AS (SELECT DISTINCT file, unnest([start_line + 3, end_line + 30]) AS line FROM nodes WHERE kind <> 'external' AND node_id % 7 = 0)"
 SEARCH = "plate"
 
@@ -103,6 +109,8 @@ GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "span": (ops.spans, WITH + "SELECT node_id, concat(file, ':', start_line, '-', greatest(start_line, end_line)) AS span FROM nodes WHERE kind <> 'external' AND start_line > 0"),
     "node_at": (lambda g: ops.node_at(g, _places(g)), f"{WITH}, {PLACES} SELECT file, line, node_id FROM (SELECT p.file, p.line, node_id, row_number() OVER (PARTITION BY p.file, p.line ORDER BY end_line - start_line, start_line DESC, node_id) AS r FROM places p JOIN nodes n ON n.file = p.file AND p.line BETWEEN start_line AND end_line) WHERE r = 1"),
     "nearest_at": (lambda g: ops.nearest_at(g, _places(g)), f"{WITH}, {PLACES} SELECT file, line, node_id, gap FROM (SELECT p.file, p.line, node_id, greatest(0, start_line - p.line, p.line - end_line) AS gap, row_number() OVER (PARTITION BY p.file, p.line ORDER BY greatest(0, start_line - p.line, p.line - end_line), start_line DESC, node_id) AS r FROM places p JOIN nodes n ON n.file = p.file) WHERE r = 1"),
+    "node_at_every": (lambda g: ops.node_at(g, _every_place(g)), f"{WITH}, {EVERY_PLACE} SELECT file, line, node_id FROM (SELECT p.file, p.line, node_id, row_number() OVER (PARTITION BY p.file, p.line ORDER BY end_line - start_line, start_line DESC, node_id) AS r FROM places p JOIN nodes n ON n.file = p.file AND p.line BETWEEN start_line AND end_line) WHERE r = 1"),
+    "nearest_at_every": (lambda g: ops.nearest_at(g, _every_place(g)), f"{WITH}, {EVERY_PLACE} SELECT file, line, node_id, gap FROM (SELECT p.file, p.line, node_id, greatest(0, start_line - p.line, p.line - end_line) AS gap, row_number() OVER (PARTITION BY p.file, p.line ORDER BY greatest(0, start_line - p.line, p.line - end_line), start_line DESC, node_id) AS r FROM places p JOIN nodes n ON n.file = p.file) WHERE r = 1"),
     "resolve": (lambda g: ops.resolve(g, SEARCH), WITH + f"SELECT node_id, qualified_name, CASE WHEN lower(qualified_name) = '{SEARCH}' THEN 0 WHEN lower(name) = '{SEARCH}' THEN 1 WHEN lower(qualified_name) LIKE '%::{SEARCH}' THEN 2 ELSE 3 END AS rank, strlen(qualified_name)::INT AS bytes FROM nodes WHERE kind <> 'external' AND contains(lower(qualified_name), '{SEARCH}')"),
     "outline": (ops.outline, WITH + "SELECT scope, count(*) AS functions FROM (SELECT unnest(list_distinct([split_part(module_path, '::', 1), concat(split_part(module_path, '::', 1), '::', split_part(module_path, '::', 2)), module_path])) AS scope FROM nodes WHERE kind <> 'external') GROUP BY scope"),
     "module_functions": (ops.module_functions, WITH + "SELECT module_path, count(*) AS functions FROM nodes WHERE kind <> 'external' GROUP BY 1"),

@@ -105,3 +105,12 @@ def test_incremental_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(files.schema).parquet(str(tmp_path / "in"))
     incremental.follow(stream, lambda df: df.where("text is not null"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_every_definition_has_its_places(spark):
+    from codeloom.plans import catalog
+    from codeloom.plans.fixture import graph as fixture
+
+    sf = "/root/testdata/sf0.001"
+    defs = {r["node_id"] for r in fixture(spark, sf).defs.where("start_line + 3 <= end_line").collect()}  # its place is inside
+    assert {r["node_id"] for r in catalog.queries()["node_at_every"](spark, sf).collect()} == defs
