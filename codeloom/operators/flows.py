@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import Graph, entry_kinds
-from .iterate import _cut, reachable
+from .iterate import _cut, reachable, rounds
 
 #: Calls that block, as prefixes (``p::*``) or as whole paths or their last segments.
 BLOCKING = [
@@ -25,7 +25,7 @@ BLOCKING = [
 TIERS = ["program", "exported", "spawned", "root", "test"]
 
 
-def reach_counts(g: Graph, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def reach_counts(g: Graph, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node_id, reach): how many definitions each root in ``roots`` (node_id) reaches, itself not counted.
 
     One loop for all roots; its state has a row for each pair of a root and a node that it reaches.
@@ -33,7 +33,7 @@ def reach_counts(g: Graph, roots: DataFrame, max_depth: int = 64) -> DataFrame:
     steps = _cut(g.edges.select(F.col("src").alias("at"), F.col("dst").alias("node_id")).distinct())
     seen = _cut(roots.select(F.col("node_id").alias("root"), "node_id").distinct())
     front = seen
-    for _ in range(max_depth):
+    for _ in rounds(max_depth):
         step = steps.join(front.select("root", F.col("node_id").alias("at")), "at").select("root", "node_id").distinct()
         front = _cut(step.join(seen, ["root", "node_id"], "left_anti"))
         if front.isEmpty():
@@ -73,7 +73,7 @@ def entry_tiers(g: Graph) -> DataFrame:
     return best.select("node_id", F.element_at(F.array(*map(F.lit, TIERS)), F.col("b.t") + 1).alias("tier"), F.col("b.t").alias("tier_rank"))
 
 
-def flows_from_entries(g: Graph, target: int, max_depth: int = 24) -> DataFrame:
+def flows_from_entries(g: Graph, target: int, max_depth: int | None = 24) -> DataFrame:
     """Entries that reach ``target``, by tier, hops and name."""
     rows = entry_tiers(g).join(reachable(g, [target], max_depth, up=True), "node_id").join(g.nodes.select("node_id", "qualified_name"), "node_id")
     order = Window.orderBy("tier_rank", "depth", "qualified_name")

@@ -5,7 +5,9 @@ Each round joins a frontier with the edges and cuts the lineage by a reliable ch
 
 from __future__ import annotations
 
+import itertools
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,13 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reachable(g: Graph, roots: list[int], max_depth: int = 64, up: bool = False) -> DataFrame:
-    """(node_id, depth): every node within ``max_depth`` calls of a root, at its least depth."""
+def rounds(max_depth: int | None) -> Iterator[int]:
+    """1, 2, ... up to ``max_depth``; without end if that is None."""
+    return itertools.count(1) if max_depth is None else iter(range(1, max_depth + 1))
+
+
+def reachable(g: Graph, roots: list[int], max_depth: int | None = None, up: bool = False) -> DataFrame:
+    """(node_id, depth): every node within ``max_depth`` calls of a root, or at any depth, at its least depth."""
     a, b = ("dst", "src") if up else ("src", "dst")
     steps = _cut(g.edges.select(F.col(a).alias("at"), F.col(b).alias("node_id")).distinct())
     spark = steps.sparkSession
@@ -29,7 +36,7 @@ def reachable(g: Graph, roots: list[int], max_depth: int = 64, up: bool = False)
     known = spark.createDataFrame([(x,) for x in roots], f"node_id {kind}").join(g.nodes.select("node_id"), "node_id", "left_semi")
     seen = _cut(known.distinct().withColumn("depth", F.lit(0)))
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in rounds(max_depth):
         front = steps.join(front.select(F.col("node_id").alias("at")), "at").select("node_id").distinct().join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth))
         front = _cut(front)
         if front.isEmpty():

@@ -145,6 +145,9 @@ SELECT a.node_id, count(src) AS edges FROM a LEFT JOIN (SELECT * FROM e WHERE ds
     "entry_tiers": (flows.entry_tiers, DEGREES + RUN_ROOTS + TIERS + "SELECT node_id, tier, tier_rank FROM tiers"),
     "flows_from_entries": (lambda g: flows.flows_from_entries(g, 7, 6), DEGREES + RUN_ROOTS + TIERS.rstrip(", \n") + ", u(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM u JOIN edges ON dst = u.node_id WHERE depth < 6), d AS (SELECT node_id, min(depth) AS hops FROM u GROUP BY 1) SELECT node_id, tier, hops, row_number() OVER (ORDER BY tier_rank, hops, qualified_name)::INT AS rank FROM tiers JOIN d USING (node_id) JOIN nodes USING (node_id)"),
     "reach_counts": (lambda g: flows.reach_counts(g, g.nodes.where("name = 'main'"), 12), WITH + ", r(root, node_id, depth) AS (SELECT node_id, node_id, 0 FROM nodes WHERE name = 'main' UNION SELECT root, dst, depth + 1 FROM r JOIN edges ON src = r.node_id WHERE depth < 12) SELECT root AS node_id, count(DISTINCT CASE WHEN nodes.kind <> 'external' AND root <> r.node_id THEN r.node_id END) AS reach FROM r JOIN nodes ON nodes.node_id = r.node_id GROUP BY 1"),
+    "reach_counts_whole": (lambda g: flows.reach_counts(g, g.nodes.where("name = 'main'")), WITH + ", r(root, node_id) AS (SELECT node_id, node_id FROM nodes WHERE name = 'main' UNION SELECT root, dst FROM r JOIN edges ON src = r.node_id) SELECT root AS node_id, count(CASE WHEN nodes.kind <> 'external' AND root <> r.node_id THEN 1 END) AS reach FROM r JOIN nodes ON nodes.node_id = r.node_id GROUP BY 1"),
+    "reachable_whole": (lambda g: iterate.reachable(g, [0, 1]), None),
+    "flows_from_entries_whole": (lambda g: flows.flows_from_entries(g, 7, None), None),
     "blocking_levels": (lambda g: flows.blocking_levels(g, 4), WITH + f", {LEVELS} SELECT node_id, min(level) AS level FROM lv GROUP BY 1"),
     "lens_async_blocking": (lambda g: flows.async_blocking(g, 4), WITH + f", {LEVELS}, b AS (SELECT node_id, min(level) AS level FROM lv GROUP BY 1) SELECT 'async_blocking' AS code, CASE WHEN level = 1 THEN 'high' ELSE 'medium' END AS severity, node_id, level::DOUBLE AS value FROM b JOIN nodes USING (node_id) WHERE is_async AND nodes.kind <> 'external' AND level > 0"),
     "impact_callers": (lambda g: flows.impact_callers(g, 7, 4), DEGREES + ", u(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM u JOIN edges ON dst = u.node_id WHERE depth < 4), d AS (SELECT node_id, min(depth) AS depth FROM u GROUP BY 1) SELECT d.node_id, d.depth, arg_min(p.node_id, n.qualified_name) AS via, any_value(CASE WHEN x.name = 'main' THEN 'main' WHEN x.fan_in > 0 THEN NULL WHEN x.is_test THEN 'test' WHEN x.is_exported THEN 'exported' WHEN x.is_pub THEN 'public' ELSE 'root' END) AS entry FROM d JOIN edges e ON e.src = d.node_id JOIN d p ON p.node_id = e.dst AND p.depth = d.depth - 1 JOIN nodes n ON n.node_id = p.node_id JOIN defs x ON x.node_id = d.node_id GROUP BY 1, 2"),

@@ -114,3 +114,20 @@ def test_every_definition_has_its_places(spark):
     sf = "/root/testdata/sf0.001"
     defs = {r["node_id"] for r in fixture(spark, sf).defs.where("start_line + 3 <= end_line").collect()}  # its place is inside
     assert {r["node_id"] for r in catalog.queries()["node_at_every"](spark, sf).collect()} == defs
+
+
+def test_registered_whole_reach(spark):
+    from codeloom.plans import catalog
+    from codeloom.plans.fixture import graph as fixture
+
+    sf = "/root/testdata/sf0.001"
+    into, front, depth = {}, {7}, {7: 0}
+    for r in fixture(spark, sf).edges.collect():
+        into.setdefault(r["dst"], set()).add(r["src"])
+    while front:
+        front = {y for x in front for y in into.get(x, ())} - set(depth)
+        depth |= dict.fromkeys(front, max(depth.values()) + 1)
+    assert max(depth.values()) > 6
+    tiers = {r["node_id"] for r in flows.entry_tiers(fixture(spark, sf)).collect()}
+    got = {r["node_id"]: r["hops"] for r in catalog.queries()["flows_from_entries_whole"](spark, sf).collect()}
+    assert got == {k: d for k, d in depth.items() if k in tiers}
