@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from .common import ascii_lower, partitions, settle
 
+FLUSH = 100_000
 SLOTS = 4
 MAX_KICKS = 200
 
@@ -125,10 +126,16 @@ def _rows(index: CuckooIndex, id_type: pa.DataType) -> pa.RecordBatch:
 
 
 def _fold_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One index for the partition, flushed when it holds ``FLUSH`` digests."""
+    index, id_type = CuckooIndex(), None
     for batch in batches:
-        index = CuckooIndex()
+        id_type = batch["keep_id"].type
         _fold(index, batch["digest"].to_pylist(), batch["keep_id"].to_pylist(), [1] * len(batch))
-        yield _rows(index, batch["keep_id"].type)
+        if len(index.content) >= FLUSH:
+            yield _rows(index, id_type)
+            index = CuckooIndex()
+    if index.content:
+        yield _rows(index, id_type)
 
 
 def _fold_bucket(rows: pa.Table) -> pa.Table:

@@ -75,6 +75,14 @@ def test_index_inserts_and_deletes(spark):
     assert [r["keep_id"] for r in exact_dedup.remove_from_index(index, b).collect()] == [2]
 
 
+def test_copies_fold_once_a_partition():
+    import pyarrow as pa
+
+    batches = [pa.record_batch([pa.array([b"d" * 32, bytes([k]) * 32]), pa.array([k, k], pa.int64())], names=["digest", "keep_id"]) for k in range(3)]
+    rows = [r for b in exact_dedup._fold_partition(iter(batches)) for r in b.to_pylist()]
+    assert len(rows) == 4 and {"digest": b"d" * 32, "keep_id": 2, "group_size": 3} in rows
+
+
 def test_exact_dedup_edges(edge):
     rows = exact_dedup.assign_groups(edge).collect()
     assert sorted((r["doc_id"] or 0, r["keep_id"], r["group_size"]) for r in rows) == [(0, 4, 4), (1, 2, 2), (2, 2, 2), (3, 4, 4), (4, 4, 4), (4, 4, 4), (6, 6, 1), (7, 7, 1)]
