@@ -339,40 +339,77 @@ def brute_forward(model, ids):
     return math.log10(a.sum())
 
 
-def test_forward_recursion_and_training():
+def small_model():
+    return hmm.Model([b" ", b"a", b"b", b"c"], np.array([5.0, 9, 4, 2]), np.array([[5.0, 4]]), 25, 8)
+
+
+def test_forward_recursion_and_training(monkeypatch):
     rng = np.random.default_rng(1)
-    model = hmm.Model([b" ", b"a", b"b", b"c"], np.array([5.0, 9, 4, 2]), 25, 8)
+    model = small_model()
     texts = [rng.integers(0, 5, n).astype(np.int32) for n in (1, 4, 9, 30)]
     assert hmm.forward(model, texts) == pytest.approx([brute_forward(model, x) for x in texts])
     assert model.emit.sum(0) == pytest.approx(np.ones(hmm.STATES))
     before = hmm.forward(model, texts).sum()
     start, move, emit = hmm.expected(model, texts)
     assert start.sum() == pytest.approx(4) and emit.sum() == pytest.approx(44) and move.sum() == pytest.approx(40)
+    # Texts cut into pieces with the messages carried across give the same sums.
+    monkeypatch.setattr(hmm, "CELLS", 7)
+    for got, want in zip(hmm.expected(model, texts), (start, move, emit), strict=True):
+        assert np.allclose(got, want, atol=1e-4)
     for _ in range(10):
         model.update(*hmm.expected(model, texts))
     assert hmm.forward(model, texts).sum() > before
 
 
-def test_training_reads_whole_texts_and_all_frequent_tokens(spark):
-    rng = np.random.default_rng(3)
-    model = hmm.Model([b" ", b"a", b"b"], np.array([5.0, 9, 4]), 25, 8)
-    ids = [rng.integers(0, 4, 200).astype(np.int32)]
-    start, move, _ = hmm.expected(model, ids)
-    assert start.sum() == pytest.approx(1) and move.sum() == pytest.approx(199)
-    text = " ".join(f"t{k}" for k in range(100_500))
-    docs = spark.createDataFrame([(k, text) for k in range(hmm.MIN_COUNT)], "doc_id long, text string")
-    assert len(hmm.train(docs, hmm.token_counts(docs), rounds=0).tokens) == 100_501
-    # Two kinds of texts in turn, all longer than any start sample took.
-    docs = spark.createDataFrame([(k, ("a b " if k % 2 else "c d ") * 2000) for k in range(6)], "doc_id long, text string")
+def brute_expected(model, ids):
+    """Sums over every sequence of states."""
+    start, move, emit, total = np.zeros(hmm.STATES), np.zeros((hmm.STATES,) * 2), np.zeros(model.emit.shape), 0.0
+    for z in np.ndindex(*(hmm.STATES,) * len(ids)):
+        p = model.start[z[0]] * np.prod([model.emit[i, k] for i, k in zip(ids, z, strict=True)]) * np.prod([model.move[a, b] for a, b in zip(z, z[1:], strict=False)])
+        total += p
+        start[z[0]] += p
+        for a, b in zip(z, z[1:], strict=False):
+            move[a, b] += p
+        for i, k in zip(ids, z, strict=True):
+            emit[i, k] += p
+    return start / total, move / total, emit / total
+
+
+def test_expected_counts_against_all_state_sequences():
+    model = small_model()
+    ids = np.array([1, 3, 4, 0], np.int32)
+    for got, want in zip(hmm.expected(model, [ids]), brute_expected(model, ids), strict=True):
+        assert np.allclose(got, want, atol=1e-5)
+
+
+def test_training_is_distributed_baum_welch(spark):
+    docs = spark.createDataFrame([(k, ("a b " if k % 2 else "c d ") * 2000) for k in range(6)], "doc_id long, text string").repartition(4)
     counts = hmm.token_counts(docs)
-    trained = hmm.train(docs, counts)
-    local, vocabulary = hmm.train(docs, counts, rounds=0), trained.vocabulary()
+    trained = hmm.train(docs, counts, rounds=6, warm_rounds=0)
+    local, vocabulary = hmm.classes(counts), trained.vocabulary()
     texts = [hmm._ids(vocabulary, r["text"].encode().split()) for r in docs.collect()]
-    for _ in range(hmm.ROUNDS):
+    for _ in range(6):
         local.update(*hmm.expected(local, texts))
     assert np.allclose(trained.emit, local.emit, atol=1e-4) and np.allclose(trained.move, local.move, atol=1e-4)
 
 
+def test_scores_against_brute_force(spark, small, monkeypatch):
+    monkeypatch.setattr(hmm, "OWN", 9)  # most tokens share rest classes
+    counts = hmm.token_counts(small.where("doc_id < 50")).cache()
+    model = hmm.train(small, counts, rounds=1, warm_rounds=1)
+    n = {r["token"].encode(): r["n"] for r in counts.collect()}
+    assert len(model.tokens) == 9 and model.rest.sum() == sum(v + 1 for k, v in n.items() if k not in model.tokens)
+    by = {r["doc_id"]: r["score"] for r in hmm.score(small, model, counts, keep=["doc_id"]).collect()}
+    vocabulary, some = model.vocabulary(), 0
+    for r in small.collect():
+        words = [*r["text"].encode().lower().split(), b" "]
+        ids = hmm._ids(vocabulary, words[:-1])
+        shares = [math.log10((n.get(w, 0) + 1) / (model.rest[i - 9].sum() + 1)) for w, i in zip(words, ids.tolist(), strict=True) if i >= 9]
+        some += len(shares)
+        assert by[r["doc_id"]] == pytest.approx(brute_forward(model, ids) + sum(shares))
+    assert some > 100
+
+
 def test_language_model_counts(edge):
     rows = hmm.score_documents(edge).collect()
     train = [(t or "").lower().encode().split() + [b" "] for i, t, *_ in EDGE if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2]
