@@ -30,12 +30,14 @@ def ascii_lower(text: Column) -> Column:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share, removed when the JVM ends.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a local
+    The folder is ``spark.checkpoint.dir``; only where that is unset on one machine, as in tests, a local
     one is made.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
         base = sc.getCheckpointDir()
     path = f"{base}/llm-{name}-{uuid.uuid4().hex}"
@@ -50,7 +52,27 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that nothing will read again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(df._settled_path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ..., so that no name clashes with those that an operator adds."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
+def row_mark(rows: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
+    return F.xxhash64(*(f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"))
 
 
 def partitions(spark: SparkSession) -> int:
