@@ -8,10 +8,12 @@ its part, and the parts' token totals (one row a part) give the offset over all
 
 Encoding cuts a text at single spaces between two non-space characters. No token of the byte-level
 pattern spans such a place and no look-ahead passes it, so the pieces encode independently, and a
-bounded memory of pieces serves the frequent ones.
+bounded memory of pieces serves the frequent ones. A text that holds an added token of the vocabulary,
+such as its end mark, goes to the library as a whole.
 
 Edge cases: a null text is empty and has only the end id; null ids sort first; rows with equal ids
-lie side by side in the order of their texts; an empty table writes no rows. Other columns are
+lie side by side in the order of their texts; texts of any length are encoded whole; an empty table
+writes no rows. Other columns are
 ignored, whatever their names.
 """
 
@@ -35,7 +37,7 @@ from .common import partitions, shared_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-CACHE_PIECES = 250_000
+CACHE_PIECES = 500_000
 CACHE_UNITS = 800_000
 _PAIR = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -53,39 +55,54 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores have tasks of their own
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: The ids of each piece after a space; None where its space must not be cut off.
+        self.cache: dict[str, bytes | None] = {}
         self.units: dict[str, bytes] = {}
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [self._text(x) for x in texts]
+
+    def _text(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return self._whole(text)
+        if not text:
+            return b""
+        first, *pieces = text.split(" ")
+        if not pieces or not first or first[-1].isspace():
+            return b"".join(map(self._piece, self.pieces(text)))
+        last = pieces.pop() if pieces[-1][-1:].isspace() and not pieces[-1][0].isspace() else None  # nothing follows it
+        get = self.cache.__getitem__
+        try:
+            found = b"".join(map(get, pieces))
+        except (KeyError, TypeError):
+            self._learn(pieces)
+            if any(self.cache[x] is None for x in pieces):
+                return b"".join(map(self._piece, self.pieces(text)))
+            found = b"".join(map(get, pieces))
+        return self._piece(first) + found + (self._piece(" " + last) if last else b"")
+
     @staticmethod
     def pieces(text: str) -> list[str]:
-        if not text:
-            return []
-        parts = _CUT.split(text) if _PAIR.search(text) or text[0] == " " or text[-1] == " " else text.split(" ")
+        """The text cut before each single space between two non-space characters."""
+        parts = _CUT.split(text)
         return [parts[0], *[" " + x for x in parts[1:]]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(x) for x in texts]
-        out, first = [], 0
-        while first < len(cut):
-            # So many texts at once that their pieces fit the bounded cache.
-            last, n = first, 0
-            while last < len(cut) and (last == first or n + len(cut[last]) <= CACHE_PIECES):
-                n += len(cut[last])
-                last += 1
-            self._learn(cut[first:last])
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, x)) for x in cut[first:last]]
-            first = last
-        return out
-
-    def _learn(self, cut: list[list[str]]) -> None:
-        wanted = set().union(*cut)
-        missing = wanted.difference(self.cache)
-        if len(self.cache) + len(missing) > 2 * CACHE_PIECES:
-            self.cache = {x: self.cache[x] for x in wanted.difference(missing)}  # those in use again
-        for piece in missing:
-            self.cache[piece] = b"".join(map(self._unit, self._units(piece)))
+    def _learn(self, pieces: list[str]) -> None:
+        cache = self.cache
+        missing = set(pieces).difference(cache)
+        if len(cache) + len(missing) > CACHE_PIECES:
+            cache.clear()
+            missing = set(pieces)  # those of one text at most
+        for x in missing:
+            # Beside a white space the cut is not allowed; the text then goes the longer way.
+            cache[x] = None if not x or x[0].isspace() or x[-1].isspace() else self._piece(" " + x)
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(map(self._unit, self._units(piece))) if piece else b""
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     @staticmethod
     def _units(piece: str) -> list[str]:
