@@ -12,20 +12,18 @@ its segments in the table of segments, and the full distance of every match is v
   fingerprints differ by two bits or fewer exactly if their balls of radius one meet, so there each
   class names the 65 points of its ball and is linked to the smallest class at each point: linear
   work, the same components.
-* Wider fingerprints (``wide_links``) are cut into 32-bit segments. The ball around a segment flips any
-  of its ``WEAK`` bits whose counts are nearest to one half, as those are the bits that differ between
-  near copies. Links beyond the reach of every ball are found with the probability in the README.
-  A group of thousands of near copies is first tied to a few pivots of each segment value; after that
-  only pairs from different components are looked for, so that no group is paired within itself.
-* ``near_dedup`` links by exact shingle similarity instead. At 0.8 about 77 of 512 bits differ, more for
-  short texts, and no ball of a bearable size reaches that. Candidates share one of ``BANDS`` MinHash
-  bands, whose chance depends on the similarity alone and not on the length; pivots and later rounds are
-  as above, and every candidate's shingle sets are compared whole.
+* ``near_dedup`` links texts of five-word shingle similarity 0.8 or more. SimHash by multi-index hashing, as
+  above, gives its first links. It cannot give all of them: at 0.8 about 15% of the bits differ, and no
+  ball of a bearable size reaches that far (README). So the links are completed by pairs that share one of
+  ``BANDS`` MinHash bands, whose chance depends on the similarity alone and not on the length. Every
+  candidate's shingle sets are compared whole. A group of thousands of near copies is first tied through
+  the fingerprints and a few pivots of each band; after that only pairs from different components are
+  looked for, so that no group is paired within itself.
 
 Components come from alternating large-star and small-star rounds over written tables.
 
 Edge cases: texts without words, null ones included, have fingerprint zero and are linked like any
-other; texts shorter than a shingle have one shingle of all their words; null ids never name a
+other (``near_dedup`` keeps one of them); a text of any length is hashed whole, in pieces of bounded memory; texts shorter than a shingle have one shingle of all their words; null ids never name a
 component that has another id; rows with equal ids are kept apart but share a component if their
 fingerprints do; an empty table gives an empty result. Other columns are ignored, whatever their
 names.
@@ -42,11 +40,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, settle, texts_of
+from .common import discard, mix, numbered, settle, texts_of
 
 SEED = 42
 MAX_BUCKET = 1_000
-WEAK = 4
 PIVOTS = 3
 #: MinHash: a pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 BANDS, ROWS = 24, 4
@@ -69,12 +66,6 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(bit_counts(h) * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def weak_bits(counts: np.ndarray, n: int) -> int:
-    """The places of the ``WEAK`` bits nearest to one half in each 32-bit half, five bits each."""
-    order = np.argsort(np.abs(counts * 2 - n).reshape(2, 32), axis=1, kind="stable")[:, :WEAK].ravel()
-    return sum(int(x) << (5 * k) for k, x in enumerate(order))
-
-
 def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
     """XXH64 of each shingle of ``text``, its words joined by single spaces."""
     words = text.split()
@@ -88,40 +79,32 @@ def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends, strict=False)), np.uint64, len(ends))
 
 
-def _fingerprints(width: int, words: int):
+def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((words, len(batch)), np.uint64)
-            weak = np.zeros((words if words > 1 else 0, len(batch)), np.int64)
+            out = np.zeros(len(batch), np.uint64)
             for k, text in enumerate(texts_of(batch["text"])):
                 h = shingle_hashes(text.lower(), width, SEED)  # bytes: A-Z only
-                for s in range(words if len(h) else 0):
-                    own = h if s == 0 else mix(h + np.uint64(s * 0x9E3779B97F4A7C15 % 2**64))
-                    counts = bit_counts(own)
-                    out[s, k] = np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]
-                    if words > 1:
-                        weak[s, k] = weak_bits(counts, len(h))
-            columns = [*(pa.array(x.view(np.int64)) for x in out), *map(pa.array, weak)]
-            yield pa.record_batch([batch["doc_id"], *columns], names=["doc_id", *(f"w{s}" for s in range(words)), *(f"weak{s}" for s in range(len(weak)))])
+                if len(h):
+                    out[k] = majority(h)
+            yield pa.record_batch([batch["doc_id"], pa.array(out.view(np.int64))], names=["doc_id", "w0"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, w0, w1, ...) for each row; with several words also their weak bits (weak0, weak1, ...)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, w0) for each row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    more = [f"weak{s} long" for s in range(words)] if words > 1 else []
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join([*(f"w{s} long" for s in range(words)), *more])
-    return rows.mapInArrow(_fingerprints(shingle, words), schema)
+    return rows.mapInArrow(_fingerprints(shingle), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, w0 long")
 
 
-def _half(k: int, word: str = "w0") -> Column:
-    """The k-th 32-bit half of a fingerprint, of its word, with its number above it."""
-    return F.shiftrightunsigned(F.col(word), 32 * (k % 2)).bitwiseAND((1 << 32) - 1) + F.lit(k << 40)
+def _half(k: int) -> Column:
+    """The k-th 32-bit half of a fingerprint with its number above it."""
+    return F.shiftrightunsigned(F.col("id"), 32 * k).bitwiseAND((1 << 32) - 1) + F.lit(k << 40)
 
 
 def links(classes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """(a, b) with a < b: one-word class ids, the fingerprints themselves, that differ by two bits or
+    """(a, b) with a < b: class ids, the fingerprints themselves, that differ by two bits or
     fewer. Their components are exact."""
     slots = [_half(0), _half(1)]
     balls = [[0, *(1 << i for i in range(32))], [0]]  # by the refined pigeonhole bound
@@ -141,41 +124,6 @@ def links(classes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, max_bits: int, words: int) -> DataFrame:
-    """Of distinct pairs (a, b) of class ids those whose fingerprints differ by ``max_bits`` or fewer."""
-    of = lambda end: classes.select(F.col("id").alias(end), *(F.col(f"w{s}").alias(f"{end}{s}") for s in range(words)))
-    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in range(words)])
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(bits <= max_bits).select("a", "b")
-
-
-def wide_links(classes: DataFrame, max_bits: int, words: int) -> DataFrame:
-    """(a, b) with a < b: class ids whose fingerprints differ by ``max_bits`` or fewer, such that every
-    pair that shares a ball point is linked or already in one component of the result.
-
-    ``classes`` has ``id``, the words and their weak bits.
-    """
-    places = [_half(k, f"w{k // 2}") for k in range(2 * words)]
-    tables = settle(classes.select("id", F.explode(F.array(*places)).alias("slot")), "slots")
-    # Pivots: the same few classes win at most of the values that a group shares.
-    least = [F.min_by("id", F.xxhash64("id", F.lit(r))).alias(f"p{r}") for r in range(PIVOTS)]
-    pivots = tables.groupBy("slot").agg(F.count("*").alias("n"), *least).where("n > 1").select("slot", F.array_distinct(F.array(*(f"p{r}" for r in range(PIVOTS)))).alias("pivots"))
-    spokes = tables.join(pivots, "slot").select("id", F.explode("pivots").alias("pivot")).where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    stars = settle(_verified(spokes, classes, max_bits, words), "stars")
-    roots = settle(components(stars), "star-roots")
-    # From here on only pairs of different components count.
-    rooted = lambda df: df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    tables = rooted(tables)
-    bit = lambda k, j: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(weak{k // 2}, {5 * (WEAK * (k % 2) + j)}) & 31 AS int))")
-    seeds = rooted(classes).select("id", "root", F.explode(F.array(*(F.struct(places[k].alias("at"), *(bit(k, j).alias(f"f{j}") for j in range(WEAK))) for k in range(2 * words)))).alias("s"))
-    masks = [reduce(lambda x, j: x.bitwiseXOR(F.col(f"s.f{j}")), [j for j in range(WEAK) if m >> j & 1], F.col("s.at")) for m in range(1 << WEAK)]
-    probes = seeds.select("id", "root", F.explode(F.array(*masks)).alias("slot"))
-    groups = tables.select("slot", F.col("root").alias("other")).distinct()
-    met = probes.join(groups, "slot").where("root != other").select(F.col("id").alias("x"), "slot", "other")
-    pairs = met.join(tables.select("slot", F.col("root").alias("other"), F.col("id").alias("y")), ["slot", "other"])
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return stars.unionByName(_verified(pairs, classes, max_bits, words))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for each id in an edge (a, b): the smallest id that it reaches."""
     now = settle(edges.select("a", "b").where("a != b").distinct(), "edges")
@@ -187,7 +135,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Now small stars: each b points at its smaller neighbours.
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        now = settle(small, "edges")
+        before, now = now, settle(small, "edges")
+        discard(before)
         last, mark = mark, _mark(now)
         if mark == last:
             break
@@ -198,22 +147,14 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def assign_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, words: int = 1, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """(doc_id, w0, ..., component_id) for each row of ``docs``. One word links at two bits."""
-    if words == 1 and max_bits != 2:
-        raise ValueError("one-word fingerprints link at two bits")
-    prints = settle(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
-    names = [f"w{s}" for s in range(words)]
-    number = F.col("w0") if words == 1 else F.xxhash64(*names)
-    rows = prints.withColumn("id", number)
-    weak = [F.min(f"weak{s}").alias(f"weak{s}") for s in range(words)] if words > 1 else []
-    classes = settle(rows.groupBy("id", *names).agg(F.min("doc_id").alias("least"), *weak), "classes")
-    found = links(classes.select("id", "w0"), max_bucket) if words == 1 else wide_links(classes, max_bits, words)
-    roots = components(found)
-    rooted = classes.select("id", "least").join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    rooted = settle(rooted, "rooted")
+def assign_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """(doc_id, w0, component_id) for each row of ``docs``; fingerprints link at two bits."""
+    rows = settle(fingerprints(docs, id_col, text_col, shingle), "fingerprints").withColumn("id", F.col("w0"))
+    classes = settle(rows.groupBy("id").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(links(classes.select("id"), max_bucket))
+    rooted = settle(classes.join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
-    return rows.join(named, "id", "left").select("doc_id", *names, "component_id")
+    return rows.join(named, "id", "left").select("doc_id", "w0", "component_id")
 
 
 def band_keys(h: np.ndarray) -> np.ndarray:
@@ -238,13 +179,15 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, slots = [], [], []
+            ids, sizes, prints, slots = [], [], [], []
             for text in texts_of(batch["text"]):
                 h = np.unique(shingle_hashes(text.lower(), width, SEED))
                 ids.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 sizes.append(len(h))
+                prints.append(majority(h) if len(h) else 0)
                 slots.append(band_keys(h))
-            yield pa.record_batch([batch["doc_id"], batch["mark"], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(slots)], names=["doc_id", "mark", "id", "n", "slots"])
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.record_batch([batch["doc_id"], batch["mark"], signed(ids), pa.array(sizes, pa.int64()), signed(prints), _lists(slots)], names=["doc_id", "mark", "id", "n", "w0", "slots"])
 
     return run
 
@@ -270,11 +213,20 @@ def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
     return pairs.join(of("a"), "a").join(of("b"), "b").where(enough).select("a", "b")
 
 
+def simhash_pairs(classes: DataFrame) -> DataFrame:
+    """(x, n, y, m): classes of equal fingerprints and the first class of each two linked fingerprints."""
+    first = settle(classes.groupBy("w0").agg(F.min(F.struct("id", "n")).alias("f")).select("w0", F.col("f.id").alias("y"), F.col("f.n").alias("m")), "prints")
+    equal = classes.join(first, "w0").where("id != y").select(F.col("id").alias("x"), "n", "y", "m")
+    of = lambda end, id_, n: first.select(F.col("w0").alias(end), F.col("y").alias(id_), F.col("m").alias(n))
+    linked = links(first.select(F.col("w0").alias("id"))).join(of("a", "x", "n"), "a").join(of("b", "y", "m"), "b")
+    return equal.unionByName(linked.select("x", "n", "y", "m"))
+
+
 def similar_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b) with a < b: class ids with a shingle similarity of ``percent`` or more, such that every such
     pair that shares a band is linked or already in one component of the result.
 
-    ``classes`` has ``id``, ``n``, ``slots`` and the ``mark`` of one text; ``texts`` has ``mark`` and ``text``.
+    ``classes`` has ``id``, ``n``, ``w0``, ``slots`` and the ``mark`` of one text; ``texts`` has ``mark`` and ``text``.
     """
     tables = settle(classes.select("id", "n", F.explode("slots").alias("slot")), "slots")
     sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # else the similarity is lower
@@ -283,17 +235,19 @@ def similar_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: i
     least = [F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(r))).alias(f"p{r}") for r in range(PIVOTS)]
     pivots = tables.groupBy("slot").agg(F.count("*").alias("size"), *least).where("size > 1").select("slot", F.array_distinct(F.array(*(f"p{r}" for r in range(PIVOTS)))).alias("pivots"))
     spokes = tables.join(pivots, "slot").select(F.col("id").alias("x"), "n", F.explode("pivots").alias("p")).select("x", "n", F.col("p.id").alias("y"), F.col("p.n").alias("m")).where("x != y")
-    spokes = settle(ordered(spokes), "spokes")
+    spokes = settle(ordered(simhash_pairs(classes.select("id", "n", "w0")).unionByName(spokes)), "spokes")
     stars = settle(_similar(spokes, classes, texts, shingle, percent), "stars")
     roots = settle(components(stars), "star-roots")
     # From here on only pairs of different components count.
-    tables = tables.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = tables.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("slot")
-    tables = settle(tables.join(mixed, "slot", "left_semi"), "mixed-slots")
-    groups = tables.select("slot", F.col("root").alias("other")).distinct()
-    met = tables.join(groups, "slot").where("root < other").select(F.col("id").alias("x"), "n", "slot", "other")
-    pairs = ordered(met.join(tables.select("slot", F.col("root").alias("other"), F.col("id").alias("y"), F.col("n").alias("m")), ["slot", "other"]))
+    rooted = tables.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("slot")
+    left = settle(rooted.join(mixed, "slot", "left_semi"), "mixed-slots")
+    discard(tables)
+    groups = left.select("slot", F.col("root").alias("other")).distinct()
+    met = left.join(groups, "slot").where("root < other").select(F.col("id").alias("x"), "n", "slot", "other")
+    pairs = ordered(met.join(left.select("slot", F.col("root").alias("other"), F.col("id").alias("y"), F.col("n").alias("m")), ["slot", "other"]))
     pairs = settle(pairs.join(spokes, ["a", "b"], "left_anti"), "pairs")
+    discard(spokes, left)
     return stars.unionByName(_similar(pairs, classes, texts, shingle, percent))
 
 
@@ -301,8 +255,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, mark, root) for each row of ``docs``: rows of one component of near copies share ``root``."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = settle(texts.mapInArrow(_sketches(shingle), f"doc_id {kind}, mark long, id long, n long, slots array<long>"), "sketches")
-    classes = settle(rows.groupBy("id").agg(F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("slots").alias("slots")), "classes")
+    rows = settle(texts.mapInArrow(_sketches(shingle), f"doc_id {kind}, mark long, id long, n long, w0 long, slots array<long>"), "sketches")
+    classes = settle(rows.groupBy("id").agg(F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("w0").alias("w0"), F.first("slots").alias("slots")), "classes")
     roots = components(similar_links(classes, texts.select("mark", "text"), shingle, percent))
     return rows.join(roots, "id", "left").select("doc_id", "mark", F.coalesce("root", "id").alias("root"))
 
@@ -311,11 +265,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One document of each component, with all its columns: of the smallest id, null last, then the smallest text hash.
 
     Documents are linked if they share 0.8 or more of their distinct five-word shingles, counted exactly.
-    Rows are told apart by id and text, so other texts under the same id, or without one, stay.
+    Rows are told apart by id and text, so other texts under the same id, or without one, stay. Columns may
+    have any names.
     """
-    found = settle(similar_components(docs, id_col, text_col, **settings), "near-rows")
+    rows = numbered(docs)
+    id_col, text_col = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    found = settle(similar_components(rows, id_col, text_col, **settings), "near-rows")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")).alias("k"))
-    kept = first.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.mark").alias("_kept_mark"))
-    rows = docs.withColumn("_mark", F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_mark"))
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_mark"]).drop("_mark")
+    kept = first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"))
+    rows = rows.withColumn("mark", F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "mark"]).drop("mark").toDF(*docs.columns)
