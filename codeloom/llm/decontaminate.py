@@ -2,7 +2,8 @@
 
 A text's fingerprints are the smallest k-gram hash of each window of k-grams, with its place. Every
 shared span of ``k + windows - 1`` words holds a fingerprint of both sides, and that span is set to
-the shortest benchmark window, so none is missed. Fingerprints of documents join those of the
+the shortest benchmark window of ``KGRAM`` words or more, so none is missed. Items of fewer words are a
+gram each, looked for at every place; only they cost that. Fingerprints of documents join those of the
 benchmark; a document with hits is read once more, every window around a hit is compared word for
 word with the benchmark's windows, and the words of equal windows are hit. Items with the same words
 are one class until the end, so repeated items do not multiply the rows.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settle
+from .common import ascii_lower, numbered, settle
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000
@@ -33,8 +34,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def with_fingerprints(rows: DataFrame, k: int, windows: int) -> DataFrame:
-    """``rows``, which has ``words``, with the array ``prints``: hash in the upper bits, place in the lower ones."""
+def with_fingerprints(rows: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
+    """``rows``, which has ``words``, with the array ``prints``: hash in the upper bits, place in the lower ones.
+
+    ``kinds``: the (k, windows) to winnow by.
+    """
+    for at, (k, windows) in enumerate(kinds):
+        rows = _fingerprinted(rows, k, windows, f"prints{at}")
+    names = [f"prints{at}" for at in range(len(kinds))]
+    return rows.withColumn("prints", F.concat(*names) if names else F.array().cast("array<long>")).drop(*names)
+
+
+def _fingerprinted(rows: DataFrame, k: int, windows: int, name: str) -> DataFrame:
     place = (1 << PLACE_BITS) - 1
     none = F.array().cast("array<long>")
     n = F.size("words")
@@ -42,7 +53,7 @@ def with_fingerprints(rows: DataFrame, k: int, windows: int) -> DataFrame:
     count = F.size("_grams")
     least = F.transform(F.sequence(F.lit(1), count - windows + 1), lambda j: F.array_min(F.slice("_grams", j, windows)))
     prints = F.when(count == 0, none).when(count <= windows, F.array(F.array_min("_grams"))).otherwise(F.array_distinct(least))
-    return rows.withColumn("_grams", F.when(n >= k, grams).otherwise(none)).withColumn("prints", prints).drop("_grams")
+    return rows.withColumn("_grams", F.when(n >= k, grams).otherwise(none)).withColumn(name, prints).drop("_grams")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -59,19 +70,20 @@ def _marked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = settle(benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0).withColumn("class", F.sha2(F.array_join("words", " "), 256)), "items")
     classes = items.select("class", "words").dropDuplicates(["class"])
     lengths = sorted(r[0] for r in classes.select(F.least(F.size("words"), F.lit(span))).distinct().collect())  # at most ``span`` numbers
-    least = lengths[0] if lengths else span
-    k = min(KGRAM, least)
-    windows = least - k + 1
+    wide = [n for n in lengths if n >= KGRAM]
+    kinds = [(n, 1) for n in lengths if n < KGRAM] + [(KGRAM, n - KGRAM + 1) for n in wide[:1]]
+    k = kinds[0][0] if kinds else span
 
     bench_windows = settle(classes.withColumn("n", F.least(F.size("words"), F.lit(span))).select("class", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.array_join(F.slice("words", i, F.col("n")), " "))).alias("window")).distinct(), "bench-windows")
-    bench_prints = settle(with_fingerprints(classes, k, windows).select(F.explode("prints").alias("p")).select(F.shiftright("p", PLACE_BITS).alias("hash")).distinct(), "bench-prints")
+    bench_prints = settle(with_fingerprints(classes, kinds).select(F.explode("prints").alias("p")).select(F.shiftright("p", PLACE_BITS).alias("hash")).distinct(), "bench-prints")
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     mark = F.xxhash64("doc_id", "text").alias("mark")
-    read = with_fingerprints(rows.select("doc_id", mark, words_of(F.col("text")).alias("words")), k, windows)
+    read = with_fingerprints(rows.select("doc_id", mark, words_of(F.col("text")).alias("words")), kinds)
     # One row without a place stands for the document, so that a single scan gives the counts and the hits.
     told = read.select("doc_id", "mark", F.size("words").cast("long").alias("n_words"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.col("prints"))).alias("p"))
-    told = told.select("doc_id", "mark", "n_words", F.shiftright("p", PLACE_BITS).alias("hash"), F.col("p").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("place"))
+    # Such rows take the mark as their hash, so that they spread over the join's tasks; where it is known by chance nothing changes.
+    told = told.select("doc_id", "mark", "n_words", F.coalesce(F.shiftright("p", PLACE_BITS), "mark").alias("hash"), F.col("p").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("place"))
     known = _small(bench_prints, bench_prints.count()).withColumn("known", F.lit(True))
     scan = settle(told.join(known, "hash", "left").where("place is null or known").select("doc_id", "mark", "n_words", "place"), "scan")
 
@@ -118,7 +130,9 @@ def covered_on(a: DataFrame, b: DataFrame) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` without a benchmark window, with all their columns.
 
-    Rows are told apart by id and text: clean texts stay, whatever shares their id.
+    Rows are told apart by id and text: clean texts stay, whatever shares their id. Columns may have any names.
     """
-    bad = _marked(docs, benchmark, id_col, text_col, **settings).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("mark").alias("_bad_mark")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[id_col], docs[text_col]) == F.col("_bad_mark")), "left_anti")
+    rows = numbered(docs)
+    id_col, text_col = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    bad = _marked(rows, benchmark, id_col, text_col, **settings).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct()
+    return rows.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")) & (F.xxhash64(id_col, text_col) == F.col("bad_mark")), "left_anti").toDF(*docs.columns)
