@@ -13,11 +13,13 @@ every language are cut from the trees.
 
 Edge cases: texts that are null, empty or without a letter are ``und`` with score 0; null languages
 teach nothing; with no training documents all texts are ``und``; ties go to the first language in
-order; bytes never seen cost the escapes to order -1. Other columns are ignored, whatever their names.
+order; bytes never seen cost the escapes to order -1; repeated rows are scored apart; a text of any length is coded whole,
+in slices of bounded memory; an empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_remainder, texts_of
+from .common import doc_remainder, numbered, texts_of
 
 TRAIN_DOCS = 2_000
 MIN_CONTEXT = 8
 SLICE = 1 << 19
 UNKNOWN = "und"
+#: A text costs less than this under its language, or it shows no language: bits a byte of letters drawn evenly, and bits more for any text.
+MAX_BITS, SPARE_BITS = math.log2(26), 32
 
 
 def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +140,7 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            preds, scores = [], []
+            preds, scores, costs = [], [], []
             for k in range(0, len(batch), 300):
                 texts = texts_of(batch.slice(k, 300)["text"])
                 model = shared.value
@@ -145,21 +149,23 @@ def _scored(shared):
                     if model is None or not any(map(str.isalpha, text.decode())):
                         preds.append(UNKNOWN)
                         scores.append(0.0)
+                        costs.append(float(8 * len(text)))
                     else:
                         best = int(bits[j].argmin())
                         preds.append(model.langs[best])
+                        costs.append(float(bits[j, best]))
                         scores.append(float(1 / np.exp2(np.minimum(0, bits[j, best] - bits[j])).sum()))
             names = [c for c in batch.schema.names if c != "text"]
-            yield pa.record_batch([*(batch[c] for c in names), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.record_batch([*(batch[c] for c in names), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(costs, pa.float64())], names=[*names, "lang_pred", "score", "bits"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score."""
+    """The columns ``keep`` of ``docs`` with lang_pred, score and bits, the code length under that language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*(keep or []), F.col(text_col).alias("text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string, score double, bits double"])
     return rows.mapInArrow(_scored(shared), schema)
 
 
@@ -167,16 +173,19 @@ def identify(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each document; held-out rows teach nothing."""
     held = held_out if held_out is not None else doc_remainder(F.col("doc_id"), 4) == 2
     model = train(docs, ~held)
-    return predict(docs.withColumn("_held_out", held), model, keep=["doc_id", "_held_out"]).withColumnRenamed("_held_out", "held_out")
+    return predict(docs.withColumn("_held_out", held), model, keep=["doc_id", "_held_out"]).select("doc_id", F.col("_held_out").alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` in a language that their labels teach, with all their columns.
 
-    Texts without a letter and texts whose best language scores under ``min_score`` go.
+    Texts without a letter go, texts whose best language scores under ``min_score``, and texts that cost
+    ``MAX_BITS`` bits a byte and ``SPARE_BITS`` more under it: no language taught explains them better
+    than letters drawn at random. Columns may have any names.
     """
     model = train(docs, F.lit(True), text_col, lang_col, id_col)
-    names = docs.columns
-    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # free of names that predict() adds
-    told = predict(plain, model, f"c{names.index(text_col)}", plain.columns)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*plain.columns).toDF(*names)
+    plain = numbered(docs)
+    text = f"c{docs.columns.index(text_col)}"
+    told = predict(plain, model, text, plain.columns)
+    explained = F.col("bits") <= MAX_BITS * F.octet_length(text) + SPARE_BITS
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score) & explained).select(*plain.columns).toDF(*docs.columns)
