@@ -2,7 +2,8 @@
 
 Each row's normalised text is reduced to its SHA-256 inside the JVM. Every scan partition first
 folds its own copies together, so a text that makes up a third of all rows reaches the shuffle as
-one row per partition. The folded rows meet in digest buckets; each bucket keeps a cuckoo filter
+one row per partition (per 100,000 digests of it). The folded rows meet in digest buckets, as many as
+the rows ask for; each bucket keeps a cuckoo filter
 over its live digests. A filter miss proves a digest is new; a hit is verified against the bucket's
 stored digests. When a copy with a larger id turns up, the older entry is deleted and the new one
 inserted. Overflow rebuilds the filter at twice the size from the stored digests.
@@ -11,7 +12,7 @@ Edge cases: a null text counts as empty; copies compare equal after lower-casing
 never win over ids that are present; if all ids of a group are null the rows stay with a null
 ``keep_id``; repeated rows of the winning id are one document and all count as kept by
 ``assign_groups`` while ``exact_dedup`` emits one of them; an empty table gives an empty result.
-Other columns are ignored by ``assign_groups``, whatever their names.
+Other columns are ignored by ``assign_groups`` and kept by ``exact_dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, partitions, settle
+from .common import ascii_lower, numbered, partitions, settle
 
 FLUSH = 100_000
+BUCKET_ROWS = 200_000
 SLOTS = 4
 MAX_KICKS = 200
 
@@ -187,15 +189,15 @@ def remove_from_index(index: DataFrame, digest_rows: DataFrame, buckets: int | N
 def assign_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of ``docs``."""
     rows = settle(digests(docs, id_col, text_col), "digests")
-    index = build_index(rows, buckets)
+    index = build_index(rows, buckets or max(partitions(docs.sparkSession), -(-rows.count() // BUCKET_ROWS)))
     return rows.join(index, "digest", "left").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one row for each kept id."""
-    rows = assign_groups(docs, id_col, text_col).where("kept")
-    kept = rows.select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_digest")).distinct()
-    digest = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    marked = docs.withColumn("_digest", digest)
-    on = marked[id_col].eqNullSafe(kept["_kept_id"]) & (marked["_digest"] == kept["_kept_digest"])
-    return marked.join(kept, on, "left_semi").dropDuplicates([id_col, "_digest"]).drop("_digest")
+    rows = numbered(docs)
+    id_col, text_col = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    kept = assign_groups(rows, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest")).distinct()
+    marked = rows.withColumn("digest", F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)))
+    on = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
+    return marked.join(kept, on, "left_semi").dropDuplicates([id_col, "digest"]).drop("digest").toDF(*docs.columns)
