@@ -16,9 +16,11 @@ its segments in the table of segments, and the full distance of every match is v
   above, gives its first links. It cannot give all of them: at 0.8 about 15% of the bits differ, and no
   ball of a bearable size reaches that far (README). So the links are completed by pairs that share one of
   ``BANDS`` MinHash bands, whose chance depends on the similarity alone and not on the length. Every
-  candidate's shingle sets are compared whole. A group of thousands of near copies is first tied through
-  the fingerprints and a few pivots of each band; after that only pairs from different components are
-  looked for, so that no group is paired within itself.
+  candidate's shingle sets are compared whole. No band is paired within itself: in each of ``PIVOT_ROUNDS``
+  rounds its classes meet ``PIVOTS`` of them, others each round, and only across the components found so
+  far. That is every pair of a band of up to four classes, and linear work in a band of any size. A link is
+  missed only if neither end is ever a pivot of a band that both share and no other way joins them; the
+  README has the recall as measured.
 
 Components come from alternating large-star and small-star rounds over written tables.
 
@@ -45,6 +47,7 @@ from .common import discard, mix, numbered, settle, texts_of
 SEED = 42
 MAX_BUCKET = 1_000
 PIVOTS = 3
+PIVOT_ROUNDS = 3
 #: MinHash: a pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 BANDS, ROWS = 24, 4
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))[:, None]
@@ -222,33 +225,37 @@ def simhash_pairs(classes: DataFrame) -> DataFrame:
     return equal.unionByName(linked.select("x", "n", "y", "m"))
 
 
-def similar_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b) with a < b: class ids with a shingle similarity of ``percent`` or more, such that every such
-    pair that shares a band is linked or already in one component of the result.
+def _spokes(tables: DataFrame, salt: int) -> DataFrame:
+    """(x, n, y, m): each class of a band with the band's ``PIVOTS`` pivots under ``salt``, of other roots.
+
+    The same few classes win at most of the bands that a group shares, and no band is paired within itself.
+    """
+    least = [F.min_by(F.struct("id", "n", "root"), F.xxhash64("id", F.lit(PIVOTS * salt + r))).alias(f"p{r}") for r in range(PIVOTS)]
+    pivots = tables.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high"), *least).where("low != high").select("slot", F.array_distinct(F.array(*(f"p{r}" for r in range(PIVOTS)))).alias("pivots"))
+    met = tables.join(pivots, "slot").select(F.col("id").alias("x"), "n", "root", F.explode("pivots").alias("p"))
+    return met.where("root != p.root").select("x", "n", F.col("p.id").alias("y"), F.col("p.n").alias("m"))
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: int, rounds: int = PIVOT_ROUNDS) -> DataFrame:
+    """(a, b) with a < b: class ids with a shingle similarity of ``percent`` or more.
 
     ``classes`` has ``id``, ``n``, ``w0``, ``slots`` and the ``mark`` of one text; ``texts`` has ``mark`` and ``text``.
     """
-    tables = settle(classes.select("id", "n", F.explode("slots").alias("slot")), "slots")
+    tables = settle(classes.select("id", "n", F.col("id").alias("root"), F.explode("slots").alias("slot")), "slots")
     sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # else the similarity is lower
     ordered = lambda df: df.where(sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    # Pivots: the same few classes win at most of the bands that a group shares.
-    least = [F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(r))).alias(f"p{r}") for r in range(PIVOTS)]
-    pivots = tables.groupBy("slot").agg(F.count("*").alias("size"), *least).where("size > 1").select("slot", F.array_distinct(F.array(*(f"p{r}" for r in range(PIVOTS)))).alias("pivots"))
-    spokes = tables.join(pivots, "slot").select(F.col("id").alias("x"), "n", F.explode("pivots").alias("p")).select("x", "n", F.col("p.id").alias("y"), F.col("p.n").alias("m")).where("x != y")
-    spokes = settle(ordered(simhash_pairs(classes.select("id", "n", "w0")).unionByName(spokes)), "spokes")
-    stars = settle(_similar(spokes, classes, texts, shingle, percent), "stars")
-    roots = settle(components(stars), "star-roots")
-    # From here on only pairs of different components count.
-    rooted = tables.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("slot")
-    left = settle(rooted.join(mixed, "slot", "left_semi"), "mixed-slots")
-    discard(tables)
-    groups = left.select("slot", F.col("root").alias("other")).distinct()
-    met = left.join(groups, "slot").where("root < other").select(F.col("id").alias("x"), "n", "slot", "other")
-    pairs = ordered(met.join(left.select("slot", F.col("root").alias("other"), F.col("id").alias("y"), F.col("n").alias("m")), ["slot", "other"]))
-    pairs = settle(pairs.join(spokes, ["a", "b"], "left_anti"), "pairs")
-    discard(spokes, left)
-    return stars.unionByName(_similar(pairs, classes, texts, shingle, percent))
+    tried = [settle(ordered(simhash_pairs(classes.select("id", "n", "w0")).unionByName(_spokes(tables, 0))), "spokes")]
+    found = [settle(_similar(tried[0], classes, texts, shingle, percent), "links")]
+    for k in range(1, rounds):
+        # From here on only pairs of different components count.
+        roots = components(reduce(DataFrame.unionByName, found))
+        before, tables = tables, settle(tables.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "slots")
+        discard(before)
+        new = settle(ordered(_spokes(tables, k)).join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "spokes")
+        tried.append(new)
+        found.append(settle(_similar(new, classes, texts, shingle, percent), "links"))
+    discard(tables, *tried)
+    return reduce(DataFrame.unionByName, found)
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
