@@ -39,21 +39,27 @@ def has_subsequence(text: Column, letters: str) -> Column:
 def suggest(defs: DataFrame, pattern: str, most: int = 8) -> DataFrame:
     """Definitions that may have been meant: few edits from the name, then by subsequence.
 
-    Whether a name can be near is tested by its length first, so that few reach Python.
+    Only distinct names of a near length reach Python, each once.
     """
     p = pattern.strip().lower()
     last = p.split("::")[-1]
     budget = max(1, -(-len(last) // 3))
-    name = F.lower("name")
-    close = F.when(F.abs(F.length(name) - len(last)) <= budget, osa(name, last))
-    rows = defs.withColumn("edits", close).withColumn("score", F.when(F.col("edits") <= budget, F.col("edits")).when(has_subsequence(F.lower("qualified_name"), p.replace(":", "")), budget + 1))
-    found = rows.where(F.col("score").isNotNull() & F.lit(bool(p))).select("node_id", "qualified_name", "score")
-    return found.orderBy("score", F.octet_length("qualified_name"), "qualified_name").limit(most)
+    rows = defs.withColumn("low_name", F.lower("name"))
+    near = rows.select("low_name").where(F.abs(F.length("low_name") - len(last)) <= budget).distinct()
+    edits = near.withColumn("score", osa(F.col("low_name"), last)).where(F.col("score") <= budget)
+    found = rows.join(edits, "low_name").select("node_id", "qualified_name", "score")
+    rest = defs.where(has_subsequence(F.lower("qualified_name"), p.replace(":", ""))).select("node_id", "qualified_name", F.lit(budget + 1).alias("score"))
+    best = found.unionByName(rest).where(F.lit(bool(p))).groupBy("node_id", "qualified_name").agg(F.min("score").alias("score"))
+    return best.orderBy("score", F.octet_length("qualified_name"), "qualified_name").limit(most)
 
 
-def snippets(places: DataFrame, sources: DataFrame, context: int = 3) -> DataFrame:
-    """(path, start, number, line): the lines from ``start`` to ``stop`` of each place and some around."""
+def snippets(places: DataFrame, sources: DataFrame, context: int = 3, whole: int = 500, most: int | None = None) -> DataFrame:
+    """(path, start, number, line): a file of ``whole`` lines at most, else the lines from ``start`` to ``stop``
+    and some around; of a place longer than ``most`` lines those from its start."""
     lines = F.split(F.col("text"), "\n")
-    rows = places.join(sources.select("path", "text"), "path").select("path", "start", "stop", F.posexplode(lines).alias("at", "line"))
+    rows = places.join(sources.select("path", "text"), "path").withColumn("lines", lines)
+    stop = F.col("stop") if most is None else F.least(F.col("stop"), F.col("start") + most - 1)
+    rows = rows.withColumn("first", F.col("start") - context).withColumn("last", stop + context).withColumn("small", F.size("lines") <= whole)
+    rows = rows.select("path", "start", "first", "last", "small", F.posexplode("lines").alias("at", "line"))
     number = F.col("at") + 1
-    return rows.where(number.between(F.col("start") - context, F.col("stop") + context)).select("path", "start", number.alias("number"), "line")
+    return rows.where(F.col("small") | number.between(F.col("first"), F.col("last"))).select("path", "start", number.alias("number"), "line")

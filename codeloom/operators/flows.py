@@ -6,11 +6,13 @@ the first few paths) reach the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import Graph, entry_kinds
+from .graph import Graph, edge_flag, entry_kinds
 from .iterate import _cut, reachable, rounds
 
 #: Calls that block, as prefixes (``p::*``) or as whole paths or their last segments.
@@ -151,40 +153,105 @@ def impact_callers(g: Graph, node_id: int, max_depth: int = 3) -> DataFrame:
     return via.join(entry_kinds(g).select("node_id", "entry"), "node_id", "left")
 
 
-def is_blocking(name: Column) -> Column:
+def patterns(extra: tuple[str, ...] = (), allow: tuple[str, ...] = ()) -> list[str]:
+    """The blocking patterns with those of a configuration and without those that it allows."""
+    return [p for p in dict.fromkeys([*BLOCKING, *extra]) if p not in allow]
+
+
+def is_blocking(name: Column, found: list[str] | None = None) -> Column:
     """Whether a called path matches a blocking pattern."""
-    whole = [p for p in BLOCKING if not p.endswith("::*")]
-    found = name.isin(whole)
-    for p in BLOCKING:
-        found = found | (name.startswith(p[:-1]) if p.endswith("::*") else name.endswith("::" + p))
-    return found
-
-
-def blocking_levels(g: Graph, max_depth: int = 4, through_async: bool = False) -> DataFrame:
-    """(node_id, level): least hops to a blocking external call; spawned calls do not count."""
-    steps = g.edges.where("kind <> 'spawn'").select("src", "dst").distinct()
-    if not through_async:  # an async function may be reached, but is not passed
-        steps = steps.join(g.nodes.where("is_async").select(F.col("node_id").alias("dst")), "dst", "left_anti")
-    steps = _cut(steps)
-    seen = front = _cut(g.nodes.where((F.col("kind") == "external") & is_blocking(F.col("qualified_name"))).select("node_id", F.lit(0).alias("level")))
+    found = patterns() if found is None else found
+    whole = [p for p in found if not p.endswith("::*")]
+    hit = name.isin(whole) if whole else F.lit(False)
+    for p in found:
+        hit = hit | (name.startswith(p[:-1]) if p.endswith("::*") else name.endswith("::" + p))
+    return hit
+
+
+def blocking_steps(g: Graph) -> DataFrame:
+    """The edges over which a callee may block its caller: not spawned, not exempt, and no awaited library call."""
+    outer = g.nodes.select(F.col("node_id").alias("dst"), (F.col("kind") == "external").alias("library"))
+    rows = g.edges.where("kind <> 'spawn'").withColumn("ok", edge_flag(g.edges, "blocking_ok")).withColumn("waits", edge_flag(g.edges, "awaited"))
+    return rows.join(outer, "dst").where("not ok and not (waits and library)").drop("ok", "waits", "library")
+
+
+def blocking_levels(g: Graph, max_depth: int = 4, through_async: bool = False, found: list[str] | None = None) -> DataFrame:
+    """(node_id, level, next): least hops to a blocking external call, and the callee with the smallest path on that way.
+
+    Async functions have no level unless ``through_async``: they are told apart on their own.
+    """
+    names = g.nodes.select(F.col("node_id").alias("dst"), "qualified_name")
+    inner = g.defs if through_async else g.defs.where("not is_async")
+    steps = _cut(blocking_steps(g).select("src", "dst").distinct().join(inner.select(F.col("node_id").alias("src")), "src", "left_semi").join(names, "dst"))
+    none = F.lit(None).cast(g.nodes.schema["node_id"].dataType)
+    fronts = [_cut(g.nodes.where((F.col("kind") == "external") & is_blocking(F.col("qualified_name"), found)).select("node_id", F.lit(0).alias("level"), none.alias("next")))]
     for level in range(1, max_depth + 1):
-        step = steps.join(front.select(F.col("node_id").alias("dst")), "dst").select(F.col("src").alias("node_id")).distinct()
-        front = _cut(step.join(seen, "node_id", "left_anti").withColumn("level", F.lit(level)))
-        if front.isEmpty():
+        step = steps.join(fronts[-1].select(F.col("node_id").alias("dst")), "dst").groupBy(F.col("src").alias("node_id")).agg(F.min_by("dst", "qualified_name").alias("next"))
+        new = _cut(step.join(_union(fronts).select("node_id"), "node_id", "left_anti").select("node_id", F.lit(level).alias("level"), "next"))
+        if new.isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
-    return seen
+        fronts.append(new)
+    return _union(fronts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def sinks(levels: DataFrame) -> DataFrame:
+    """(node_id, sink): the blocking call at the end of each node's way; as many joins as levels."""
+    out = levels.where("level = 0").select("node_id", F.col("node_id").alias("sink"))
+    parts = [out]
+    for level in range(1, (levels.agg(F.max("level")).first()[0] or 0) + 1):
+        out = levels.where(F.col("level") == level).select("node_id", F.col("next").alias("at")).join(out.select(F.col("node_id").alias("at"), "sink"), "at").select("node_id", "sink")
+        parts.append(out)
+    return _union(parts)
+
+
+def async_calls(g: Graph, max_depth: int = 4, found: list[str] | None = None) -> DataFrame:
+    """(node_id, depth, calls, line, target): async functions that run blocking calls, with the nearest one."""
+    levels = blocking_levels(g, max(max_depth, 1) - 1, False, found)
+    waits = g.nodes.select("node_id", "is_async", "kind")
+    callers = waits.where("is_async and kind <> 'external'").select(F.col("node_id").alias("src"))
+    sync = waits.where("not is_async").select(F.col("node_id").alias("dst"))
+    hits = blocking_steps(g).join(callers, "src", "left_semi").join(sync, "dst", "left_semi").join(levels.select(F.col("node_id").alias("dst"), "level"), "dst")
+    best = F.min(F.struct("level", "line", "dst")).alias("b")
+    return hits.groupBy(F.col("src").alias("node_id")).agg(best, F.sum("count").alias("calls")).select("node_id", (F.col("b.level") + 1).alias("depth"), "calls", F.col("b.line").alias("line"), F.col("b.dst").alias("target"))
 
 
 def async_blocking(g: Graph, max_depth: int = 4) -> DataFrame:
     """Diagnostics: async functions that reach a blocking call through sync ones."""
-    levels = blocking_levels(g, max_depth)
-    hit = levels.join(g.nodes.where("is_async and kind <> 'external'").select("node_id"), "node_id", "left_semi").where("level > 0")
-    return hit.select(F.lit("async_blocking").alias("code"), F.when(F.col("level") == 1, "high").otherwise("medium").alias("severity"), "node_id", F.col("level").cast("double").alias("value"))
+    level = F.when(F.col("depth") == 1, "high").otherwise("medium")
+    return async_calls(g, max_depth).select(F.lit("async_blocking").alias("code"), level.alias("severity"), "node_id", F.col("depth").cast("double").alias("value"))
+
+
+#: Types whose clone copies all that they hold, and the calls that do it.
+HEAVY_TYPES = ["Vec", "VecDeque", "HashMap", "HashSet", "BTreeMap", "BTreeSet", "String"]
+COPIES = ["clone", "to_vec", "to_owned"]
+
+
+def loop_calls(g: Graph, max_depth: int = 4, found: list[str] | None = None) -> DataFrame:
+    """(code, src, dst, depth, line): calls in loops that do I/O, else copies of heavy or own types in loops."""
+    levels = blocking_levels(g, max(max_depth, 1), True, found).select(F.col("node_id").alias("dst"), F.col("level").alias("depth"))
+    inner = g.edges.where("in_loop and src <> dst").join(g.defs.select(F.col("node_id").alias("src")), "src", "left_semi")
+    line = F.col("loop_line") if "loop_line" in g.edges.columns else F.col("line")
+    io = blocking_steps(Graph(g.nodes, inner)).join(levels, "dst").select(F.lit("n_plus_one").alias("code"), "src", "dst", "kind", "depth", line.alias("line"))
+    own = g.nodes.where("kind = 'method'").select(F.element_at(F.split("module_path", "::"), -1).alias("owner")).distinct()
+    names = g.nodes.where("kind = 'external'").select(F.col("node_id").alias("dst"), F.split("qualified_name", "::").alias("parts")).where(F.size("parts") > 1)
+    copies = names.where(F.element_at("parts", -1).isin(COPIES)).select("dst", F.element_at("parts", -2).alias("owner"))
+    heavy = copies.where(F.col("owner").isin(HEAVY_TYPES)).unionByName(copies.where(~F.col("owner").isin(HEAVY_TYPES)).join(own, "owner", "left_semi"))
+    clones = inner.join(heavy.select("dst"), "dst", "left_semi").join(io.select("src", "dst", "kind"), ["src", "dst", "kind"], "left_anti")
+    return io.unionByName(clones.select(F.lit("clone_in_loop").alias("code"), "src", "dst", "kind", F.lit(0).alias("depth"), line.alias("line"))).drop("kind")
+
+
+def loop_diagnostics(g: Graph, max_depth: int = 4) -> DataFrame:
+    """Diagnostics: one for each call in a loop that does I/O or copies much."""
+    level = F.when(F.col("code") == "n_plus_one", "medium").otherwise("low")
+    return loop_calls(g, max_depth).select("code", level.alias("severity"), F.col("src").alias("node_id"), F.col("depth").cast("double").alias("value"))
 
 
 def hot_io(g: Graph, callers: int = 8, top: int = 5) -> DataFrame:
     """The ``top`` definitions that may block and have at least ``callers`` other callers."""
     n = g.edges.where("src <> dst").groupBy(F.col("dst").alias("node_id")).agg(F.countDistinct("src").alias("callers")).where(F.col("callers") >= callers)
-    levels = blocking_levels(g, through_async=True).join(g.defs.select("node_id"), "node_id", "left_semi")
-    return n.join(levels, "node_id").select("node_id", "callers", "level").orderBy(F.desc("callers"), "node_id").limit(top)
+    levels = blocking_levels(g, through_async=True)
+    return n.join(levels, "node_id").join(g.defs.select("node_id"), "node_id", "left_semi").select("node_id", "callers", "level").orderBy(F.desc("callers"), "node_id").limit(top)

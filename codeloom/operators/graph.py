@@ -34,8 +34,15 @@ def purity() -> Column:
 
 
 def merge_edges(calls: DataFrame) -> DataFrame:
-    """Raw calls as edges: counts add up, the first line stays."""
-    return calls.groupBy("src", "dst", "kind").agg(F.sum("count").alias("count"), F.bool_or("in_loop").alias("in_loop"), F.min("line").alias("line"))
+    """Raw calls as edges: counts add up, the first line and first line in a loop stay, and an edge is
+    exempt from blocking or awaited only if each of its calls is."""
+    both = [F.bool_and(c).alias(c) for c in ("blocking_ok", "awaited") if c in calls.columns]
+    return calls.groupBy("src", "dst", "kind").agg(F.sum("count").alias("count"), F.bool_or("in_loop").alias("in_loop"), F.min("line").alias("line"), F.min(F.when(F.col("in_loop"), F.col("line"))).alias("loop_line"), *both)
+
+
+def edge_flag(edges: DataFrame, name: str) -> Column:
+    """A flag of the edges; false where the source of the graph does not tell it."""
+    return F.coalesce(F.col(name), F.lit(False)) if name in edges.columns else F.lit(False)
 
 
 def degrees(g: Graph) -> DataFrame:

@@ -76,19 +76,6 @@ def self_recursion(g: Graph) -> DataFrame:
     return g.edges.where("src = dst").select(F.lit("self_recursion").alias("code"), F.lit("low").alias("severity"), F.col("src").alias("node_id"), F.col("count").cast("double").alias("value"))
 
 
-def clones_in_loops(g: Graph) -> DataFrame:
-    clones = g.nodes.where("kind = 'external' and qualified_name like 'Vec%::clone'").select(F.col("node_id").alias("dst"))
-    hit = g.edges.where("in_loop").join(clones, "dst", "left_semi").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("n"))
-    return _rule(hit, "clone_in_loop", F.lit(True), "low", F.col("n"))
-
-
-def io_in_loops(g: Graph) -> DataFrame:
-    """Edges inside loops to blocking externals, by caller."""
-    blocking = g.nodes.where("kind = 'external' and qualified_name like 'std::fs::%'").select(F.col("node_id").alias("dst"))
-    hit = g.edges.where("in_loop").join(blocking, "dst", "left_semi").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("n"))
-    return _rule(hit, "n_plus_one", F.lit(True), "medium", F.col("n"))
-
-
 def paradigm(g: Graph) -> DataFrame:
     """One row: the share of methods, the mean purity and the style that they show."""
     row = g.defs.agg(F.round(F.avg((F.col("kind") == "method").cast("double")), 6).alias("methods"), F.round(F.avg(purity()), 6).alias("purity"))
@@ -96,19 +83,32 @@ def paradigm(g: Graph) -> DataFrame:
     return row.withColumn("style", style)
 
 
-def diagnostics(g: Graph) -> DataFrame:
-    return _all([complexity(g), hazards(g), impure_hotspots(g), io_in_loops(g), clones_in_loops(g)])
+def paradigm_note(g: Graph) -> DataFrame:
+    """The diagnostic of ``paradigm``; it belongs to no node."""
+    none = F.lit(None).cast(g.nodes.schema["node_id"].dataType)
+    return paradigm(g).select(F.lit("paradigm_profile").alias("code"), F.lit("info").alias("severity"), none.alias("node_id"), F.col("methods").alias("value"))
+
 
+def diagnostics(g: Graph, cycles: bool = True) -> DataFrame:
+    """All diagnostics of the default rules. ``cycles`` may leave out the rule that walks the whole graph."""
+    from .flows import async_blocking, loop_diagnostics
 
-#: Fixed values of the advisors: code, base, step and cap of the priority.
-ADVICE = [("high_complexity", 60, 3, 90), ("unsafe_usage", 65, 2, 88), ("heap_pressure", 60, 2, 85), ("impure_hotspot", 55, 2, 80), ("n_plus_one", 65, 2, 88), ("clone_in_loop", 50, 2, 88)]
+    found = [complexity(g), hazards(g), impure_hotspots(g), layering(g), paradigm_note(g), async_blocking(g), loop_diagnostics(g)]
+    return _all([*found, cycle_diagnostics(g)] if cycles else found)
 
 
-def suggestions(found: DataFrame) -> DataFrame:
-    """The priority of each code that has diagnostics: more of them weigh more, up to a cap."""
-    rules = found.sparkSession.createDataFrame(ADVICE, "code string, base int, step int, cap int")
-    n = found.groupBy("code").agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(rules), "code").select("code", "n", F.least(F.col("base") + F.col("step") * F.col("n"), F.col("cap")).cast("int").alias("priority"))
+def extended(g: Graph) -> DataFrame:
+    """The diagnostics of the rules that are off by default."""
+    return _all([recursion_cycles(g), self_recursion(g), dead_code(g), god_functions(g), hotspots(g), unstable_dependencies(g)])
+
+
+def sort_diagnostics(found: DataFrame) -> DataFrame:
+    """Diagnostics as reported: worst first, those of no node before others, then by code."""
+    return found.orderBy(F.desc(severity_rank()), F.asc_nulls_first("node_id"), "code", "value")
+
+
+def severity_rank() -> Column:
+    return F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
 
 
 #: The layer that a module segment names, innermost first; the last match of a path counts.
@@ -187,9 +187,3 @@ def cyclicity(g: Graph) -> DataFrame:
     """One row: the share of all nodes that are on a cycle."""
     return _members(g).agg(F.count("*").alias("n")).crossJoin(g.nodes.agg(F.count("*").alias("total"))).select(F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(0.0).alias("cyclicity"))  # one row each
 
-
-def god_types(g: Graph, methods: int = 40, lines: int = 1500) -> DataFrame:
-    """Scopes whose methods, tests left out, are many or long."""
-    own = g.nodes.where("kind = 'method' and not is_test")
-    sums = own.groupBy("module_path").agg(F.count("*").alias("methods"), F.sum("lines_of_code").alias("lines"))
-    return sums.where((F.col("methods") >= methods) | (F.col("lines") >= lines))

@@ -38,13 +38,23 @@ HAZARDS = [("unsafe_usage", "is_unsafe OR unsafe_blocks > 0", "'medium'", "unsaf
 IMPURE = ("impure_hotspot", f"{PURITY} < 0.4 AND fan_in >= 3", "'low'", PURITY)
 
 
-def _loops(code: str, severity: str, like: str) -> str:
-    return f"SELECT '{code}' AS code, '{severity}' AS severity, src AS node_id, count(*)::DOUBLE AS value FROM edges JOIN nodes ON node_id = dst WHERE in_loop AND kind_of_node = 'external' AND qualified_name LIKE '{like}' GROUP BY src".replace("kind_of_node", "nodes.kind")
+def _levels(depth: int, through_async: bool, name: str) -> str:
+    """SQL of blocking levels: ``name`` (node_id, level)."""
+    wait = "" if through_async else " AND NOT s.is_async"
+    return f"""{name}_walk(node_id, level) AS (SELECT node_id, 0 FROM nodes WHERE kind = 'external' AND starts_with(qualified_name, 'std::fs::') UNION
+  SELECT src, level + 1 FROM {name}_walk w JOIN steps_in ON dst = w.node_id JOIN nodes s ON s.node_id = src WHERE level < {depth} AND s.kind <> 'external'{wait}),
+{name} AS (SELECT node_id, min(level) AS level FROM {name}_walk GROUP BY 1)"""
 
 
-def _places(g: Graph) -> DataFrame:
-    """A place in the middle of, and one after, each definition of a few."""
-    return g.defs.where("node_id % 7 = 0").select("file", F.explode(F.array(F.col("start_line") + 3, F.col("end_line") + 30)).alias("line")).distinct()
+STEPS_IN = "steps_in AS (SELECT e.* FROM edges e JOIN nodes t ON t.node_id = e.dst WHERE e.kind <> 'spawn' AND NOT e.blocking_ok AND NOT (e.awaited AND t.kind = 'external'))"
+ASYNC = f"""{STEPS_IN}, {_levels(3, False, 'la')},
+ac AS (SELECT e.src AS node_id, min(la.level) + 1 AS depth, sum(e.count)::BIGINT AS calls FROM steps_in e JOIN nodes t ON t.node_id = e.dst JOIN nodes s ON s.node_id = e.src JOIN la ON la.node_id = e.dst WHERE NOT t.is_async AND s.is_async AND s.kind <> 'external' GROUP BY 1)"""
+LOOPS = f"""{_levels(4, True, 'll')},
+lc AS (SELECT 'n_plus_one' AS code, e.src, e.dst, ll.level AS depth, e.loop_line AS line FROM steps_in e JOIN nodes s ON s.node_id = e.src JOIN ll ON ll.node_id = e.dst WHERE e.in_loop AND e.src <> e.dst AND s.kind <> 'external'
+  UNION ALL SELECT 'clone_in_loop', e.src, e.dst, 0, e.loop_line FROM edges e JOIN nodes s ON s.node_id = e.src JOIN nodes t ON t.node_id = e.dst WHERE e.in_loop AND s.kind <> 'external' AND t.kind = 'external' AND t.qualified_name LIKE '%::Vec::clone')"""
+BLOCKED = f"{ASYNC}, {LOOPS}"
+ASYNC_ROWS = "SELECT 'async_blocking' AS code, CASE WHEN depth = 1 THEN 'high' ELSE 'medium' END AS severity, node_id, depth::DOUBLE AS value FROM ac"
+LOOP_ROWS = "SELECT code, CASE WHEN code = 'n_plus_one' THEN 'medium' ELSE 'low' END AS severity, src AS node_id, depth::DOUBLE AS value FROM lc"
 
 
 def _every_place(g: Graph) -> DataFrame:
@@ -53,7 +63,6 @@ def _every_place(g: Graph) -> DataFrame:
 
 
 EVERY_PLACE = "places AS (SELECT DISTINCT file, unnest([start_line + 3, end_line + 30]) AS line FROM nodes WHERE kind <> 'external')"
-PLACES = "places AS (SELECT DISTINCT file, unnest([start_line + 3, end_line + 30]) AS line FROM nodes WHERE kind <> 'external' AND node_id % 7 = 0)"
 SEARCH = "plate"
 
 
@@ -72,9 +81,10 @@ def _excluded(g: Graph) -> DataFrame:
 
 
 def _summary(g: Graph) -> DataFrame:
+    """Six counts; cycles are left out of the diagnostics, as in the SQL."""
     n = g.nodes.agg(F.count_if(F.col("kind") != "external").alias("functions"), F.count_if(F.col("kind") == "external").alias("externals"))
     e = g.edges.agg(F.count("*").alias("edges"), F.sum("count").alias("calls"))
-    d = lenses.diagnostics(g).agg(F.count("*").alias("diagnostics"))
+    d = lenses.diagnostics(g, cycles=False).agg(F.count("*").alias("diagnostics"))
     return n.crossJoin(e).crossJoin(d)  # one row each
 
 
@@ -93,9 +103,11 @@ TIERS = """, tiers AS (SELECT node_id, t AS tier_rank, ['program', 'exported', '
   SELECT node_id, t, row_number() OVER (PARTITION BY node_id ORDER BY late, t) AS r FROM (
     SELECT node_id, CASE WHEN kind = 'program' THEN 0 WHEN kind = 'exported' THEN 1 WHEN test_only THEN 4 ELSE 2 END AS t, 0 AS late FROM rr
     UNION ALL SELECT node_id, CASE WHEN is_test THEN 4 ELSE 3 END, 1 FROM defs WHERE name <> 'main' AND fan_in = 0 AND (is_test OR NOT is_exported))) WHERE r = 1) """
-LEVELS = "lv(node_id, level) AS (SELECT node_id, 0 FROM nodes WHERE kind = 'external' AND starts_with(qualified_name, 'std::fs::') UNION SELECT src, level + 1 FROM lv JOIN edges ON dst = lv.node_id JOIN nodes n ON n.node_id = lv.node_id WHERE level < 4 AND edges.kind <> 'spawn' AND NOT n.is_async)"
-
-DIAGNOSTICS = _lens(*COMPLEXITY, *HAZARDS, IMPURE) + " UNION ALL " + _loops("n_plus_one", "medium", "std::fs::%") + " UNION ALL " + _loops("clone_in_loop", "low", "Vec%::clone")
+PARADIGM = f"p AS (SELECT round(avg((kind = 'method')::INT), 6)::DOUBLE AS methods, round(avg(({PURITY})), 6)::DOUBLE AS purity FROM nodes WHERE kind <> 'external')"
+#: All diagnostics but cycles: the CTEs, and the rows.
+FOUND = f"{DEGREES}, {BLOCKED}, {PARADIGM}, found AS ({_lens(*COMPLEXITY, *HAZARDS, IMPURE).removeprefix(DEGREES)} UNION ALL SELECT 'paradigm_profile', 'info', NULL, methods FROM p UNION ALL {ASYNC_ROWS} UNION ALL {LOOP_ROWS}) "
+CLOSURE = f"""{DEGREES}, cl(a, b) AS (SELECT src, dst FROM edges UNION SELECT a, dst FROM cl JOIN edges ON src = b),
+scc AS (SELECT x.a AS node_id, min(x.b) AS component, count(DISTINCT x.b) AS size FROM cl x JOIN cl y ON x.a = y.b AND x.b = y.a GROUP BY 1)"""
 
 #: name: (operator on the graph, SQL or None)
 GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
@@ -107,10 +119,8 @@ GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "branches": (ops.branches, WITH + "SELECT src, dst, min(line) AS line, sum(count)::BIGINT AS count, max((kind = 'spawn')::INT) AS spawned, max((dst IN (SELECT src FROM edges))::INT) AS has_branches FROM edges GROUP BY src, dst"),
     "flags_of": (ops.tags, WITH + "SELECT node_id, concat_ws(',', CASE WHEN is_pub THEN 'pub' END, CASE WHEN is_async THEN 'async' END, CASE WHEN is_unsafe THEN 'unsafe' END, CASE WHEN is_test THEN 'test' END, CASE WHEN is_exported THEN 'export' END) AS tags FROM nodes WHERE kind <> 'external'"),
     "span": (ops.spans, WITH + "SELECT node_id, concat(file, ':', start_line, '-', greatest(start_line, end_line)) AS span FROM nodes WHERE kind <> 'external' AND start_line > 0"),
-    "node_at": (lambda g: ops.node_at(g, _places(g)), f"{WITH}, {PLACES} SELECT file, line, node_id FROM (SELECT p.file, p.line, node_id, row_number() OVER (PARTITION BY p.file, p.line ORDER BY end_line - start_line, start_line DESC, node_id) AS r FROM places p JOIN nodes n ON n.file = p.file AND p.line BETWEEN start_line AND end_line) WHERE r = 1"),
-    "nearest_at": (lambda g: ops.nearest_at(g, _places(g)), f"{WITH}, {PLACES} SELECT file, line, node_id, gap FROM (SELECT p.file, p.line, node_id, greatest(0, start_line - p.line, p.line - end_line) AS gap, row_number() OVER (PARTITION BY p.file, p.line ORDER BY greatest(0, start_line - p.line, p.line - end_line), start_line DESC, node_id) AS r FROM places p JOIN nodes n ON n.file = p.file) WHERE r = 1"),
-    "node_at_every": (lambda g: ops.node_at(g, _every_place(g)), f"{WITH}, {EVERY_PLACE} SELECT file, line, node_id FROM (SELECT p.file, p.line, node_id, row_number() OVER (PARTITION BY p.file, p.line ORDER BY end_line - start_line, start_line DESC, node_id) AS r FROM places p JOIN nodes n ON n.file = p.file AND p.line BETWEEN start_line AND end_line) WHERE r = 1"),
-    "nearest_at_every": (lambda g: ops.nearest_at(g, _every_place(g)), f"{WITH}, {EVERY_PLACE} SELECT file, line, node_id, gap FROM (SELECT p.file, p.line, node_id, greatest(0, start_line - p.line, p.line - end_line) AS gap, row_number() OVER (PARTITION BY p.file, p.line ORDER BY greatest(0, start_line - p.line, p.line - end_line), start_line DESC, node_id) AS r FROM places p JOIN nodes n ON n.file = p.file) WHERE r = 1"),
+    "node_at": (lambda g: ops.node_at(g, _every_place(g)), f"{WITH}, {EVERY_PLACE} SELECT file, line, node_id FROM (SELECT p.file, p.line, node_id, row_number() OVER (PARTITION BY p.file, p.line ORDER BY end_line - start_line, start_line DESC, node_id) AS r FROM places p JOIN nodes n ON n.file = p.file AND p.line BETWEEN start_line AND end_line) WHERE r = 1"),
+    "nearest_at": (lambda g: ops.nearest_at(g, _every_place(g)), f"{WITH}, {EVERY_PLACE} SELECT file, line, node_id, gap FROM (SELECT p.file, p.line, node_id, greatest(0, start_line - p.line, p.line - end_line) AS gap, row_number() OVER (PARTITION BY p.file, p.line ORDER BY greatest(0, start_line - p.line, p.line - end_line), start_line DESC, node_id) AS r FROM places p JOIN nodes n ON n.file = p.file) WHERE r = 1"),
     "resolve": (lambda g: ops.resolve(g, SEARCH), WITH + f"SELECT node_id, qualified_name, CASE WHEN lower(qualified_name) = '{SEARCH}' THEN 0 WHEN lower(name) = '{SEARCH}' THEN 1 WHEN lower(qualified_name) LIKE '%::{SEARCH}' THEN 2 ELSE 3 END AS rank, strlen(qualified_name)::INT AS bytes FROM nodes WHERE kind <> 'external' AND contains(lower(qualified_name), '{SEARCH}')"),
     "outline": (ops.outline, WITH + "SELECT scope, count(*) AS functions FROM (SELECT unnest(list_distinct([split_part(module_path, '::', 1), concat(split_part(module_path, '::', 1), '::', split_part(module_path, '::', 2)), module_path])) AS scope FROM nodes WHERE kind <> 'external') GROUP BY scope"),
     "module_functions": (ops.module_functions, WITH + "SELECT module_path, count(*) AS functions FROM nodes WHERE kind <> 'external' GROUP BY 1"),
@@ -130,15 +140,8 @@ SELECT a.node_id, count(src) AS edges FROM a LEFT JOIN (SELECT * FROM e WHERE ds
     "lens_hotspot": (lenses.hotspots, DEGREES + ", v AS (SELECT dst AS node_id, sum(count) AS volume FROM edges GROUP BY 1) SELECT 'hotspot' AS code, CASE WHEN fan_in >= 12 OR volume >= 32 THEN 'high' ELSE 'medium' END AS severity, node_id, volume::DOUBLE AS value FROM defs JOIN v USING (node_id) WHERE fan_in >= 2 AND (fan_in >= 6 OR volume >= 16)"),
     "lens_unstable_dependency": (lenses.unstable_dependencies, DEGREES + f", r AS (SELECT src AS node_id, count(*) AS n, round(avg(({CC} > 10 OR fan_in >= 10)::INT), 6) AS ratio FROM edges JOIN defs ON defs.node_id = dst GROUP BY 1) SELECT 'unstable_dependency' AS code, CASE WHEN ratio >= 0.75 THEN 'medium' ELSE 'low' END AS severity, node_id, ratio::DOUBLE AS value FROM r WHERE n >= 5 AND ratio >= 0.5"),
     "lens_self_recursion": (lenses.self_recursion, WITH + "SELECT 'self_recursion' AS code, 'low' AS severity, src AS node_id, count::DOUBLE AS value FROM edges WHERE src = dst"),
-    "lens_n_plus_one": (lenses.io_in_loops, WITH + _loops("n_plus_one", "medium", "std::fs::%")),
-    "lens_clone_in_loop": (lenses.clones_in_loops, WITH + _loops("clone_in_loop", "low", "Vec%::clone")),
-    "lens_paradigm": (lenses.paradigm, WITH + f", p AS (SELECT round(avg((kind = 'method')::INT), 6)::DOUBLE AS methods, round(avg(({PURITY})), 6)::DOUBLE AS purity FROM nodes WHERE kind <> 'external') SELECT methods, purity, CASE WHEN methods >= 0.6 THEN 'object_oriented' WHEN methods <= 0.35 AND purity >= 0.6 THEN 'functional' ELSE 'mixed' END AS style FROM p"),
-    "diag_counts": (lambda g: lenses.diagnostics(g).groupBy("code", "severity").agg(F.count("*").alias("n")), f"SELECT code, severity, count(*) AS n FROM ({DIAGNOSTICS}) GROUP BY 1, 2"),
-    "advisors": (lambda g: lenses.suggestions(lenses.diagnostics(g)), f"SELECT code, count(*) AS n, least(base + step * count(*), cap)::INT AS priority FROM ({DIAGNOSTICS}) JOIN (VALUES {', '.join(map(str, lenses.ADVICE))}) t(code, base, step, cap) USING (code) GROUP BY code, base, step, cap"),
-    "summary": (_summary, f"{WITH} SELECT (SELECT count(*) FROM nodes WHERE kind <> 'external') AS functions, (SELECT count(*) FROM nodes WHERE kind = 'external') AS externals, (SELECT count(*) FROM edges) AS edges, (SELECT sum(count)::BIGINT FROM edges) AS calls, (SELECT count(*) FROM ({DIAGNOSTICS})) AS diagnostics"),
     "reachable": (lambda g: iterate.reachable(g, [0, 1], 8), WITH + ", r(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id IN (0, 1) UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = r.node_id WHERE depth < 8) SELECT node_id, min(depth) AS depth FROM r GROUP BY 1"),
     "impact": (lambda g: iterate.impact(g, 7, 6), WITH + ", r(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM r JOIN edges ON dst = r.node_id WHERE depth < 6) SELECT depth, count(*) AS callers FROM (SELECT node_id, min(depth) AS depth FROM r GROUP BY 1) WHERE depth > 0 GROUP BY 1"),
-    "cycles": (iterate.cycles, None),
     "lens_layering": (_tested_layers, f"{WITH}, {TESTED_LAYERS} SELECT 'layering_violation' AS code, 'medium' AS severity, src AS node_id, dst::DOUBLE AS value FROM edges JOIN l a ON a.node_id = src JOIN l b ON b.node_id = dst WHERE src <> dst AND a.k < b.k"),
     "vertical_scores": (lenses.vertical_scores, WITH + f", v AS (SELECT * FROM (VALUES {', '.join(str((v, w)) for v, words in lenses.VERTICALS.items() for w in words.split())}) t(vertical, word)), t AS (SELECT unnest(regexp_split_to_array(lower(concat(qualified_name, ' ', module_path)), '[^a-z0-9]+')) AS word FROM nodes) SELECT v.vertical, count(t.word)::BIGINT AS score FROM v LEFT JOIN t USING (word) GROUP BY 1"),
     "run_roots": (flows.run_roots, DEGREES + RUN_ROOTS + "SELECT node_id, kind, spawners, test_only FROM rr"),
@@ -146,23 +149,35 @@ SELECT a.node_id, count(src) AS edges FROM a LEFT JOIN (SELECT * FROM e WHERE ds
     "flows_from_entries": (lambda g: flows.flows_from_entries(g, 7, 6), DEGREES + RUN_ROOTS + TIERS.rstrip(", \n") + ", u(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM u JOIN edges ON dst = u.node_id WHERE depth < 6), d AS (SELECT node_id, min(depth) AS hops FROM u GROUP BY 1) SELECT node_id, tier, hops, row_number() OVER (ORDER BY tier_rank, hops, qualified_name)::INT AS rank FROM tiers JOIN d USING (node_id) JOIN nodes USING (node_id)"),
     "reach_counts": (lambda g: flows.reach_counts(g, g.nodes.where("name = 'main'"), 12), WITH + ", r(root, node_id, depth) AS (SELECT node_id, node_id, 0 FROM nodes WHERE name = 'main' UNION SELECT root, dst, depth + 1 FROM r JOIN edges ON src = r.node_id WHERE depth < 12) SELECT root AS node_id, count(DISTINCT CASE WHEN nodes.kind <> 'external' AND root <> r.node_id THEN r.node_id END) AS reach FROM r JOIN nodes ON nodes.node_id = r.node_id GROUP BY 1"),
     "reach_counts_whole": (lambda g: flows.reach_counts(g, g.nodes.where("name = 'main'")), WITH + ", r(root, node_id) AS (SELECT node_id, node_id FROM nodes WHERE name = 'main' UNION SELECT root, dst FROM r JOIN edges ON src = r.node_id) SELECT root AS node_id, count(CASE WHEN nodes.kind <> 'external' AND root <> r.node_id THEN 1 END) AS reach FROM r JOIN nodes ON nodes.node_id = r.node_id GROUP BY 1"),
-    "reachable_whole": (lambda g: iterate.reachable(g, [0, 1]), None),
-    "flows_from_entries_whole": (lambda g: flows.flows_from_entries(g, 7, None), None),
-    "blocking_levels": (lambda g: flows.blocking_levels(g, 4), WITH + f", {LEVELS} SELECT node_id, min(level) AS level FROM lv GROUP BY 1"),
-    "lens_async_blocking": (lambda g: flows.async_blocking(g, 4), WITH + f", {LEVELS}, b AS (SELECT node_id, min(level) AS level FROM lv GROUP BY 1) SELECT 'async_blocking' AS code, CASE WHEN level = 1 THEN 'high' ELSE 'medium' END AS severity, node_id, level::DOUBLE AS value FROM b JOIN nodes USING (node_id) WHERE is_async AND nodes.kind <> 'external' AND level > 0"),
     "impact_callers": (lambda g: flows.impact_callers(g, 7, 4), DEGREES + ", u(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM u JOIN edges ON dst = u.node_id WHERE depth < 4), d AS (SELECT node_id, min(depth) AS depth FROM u GROUP BY 1) SELECT d.node_id, d.depth, arg_min(p.node_id, n.qualified_name) AS via, any_value(CASE WHEN x.name = 'main' THEN 'main' WHEN x.fan_in > 0 THEN NULL WHEN x.is_test THEN 'test' WHEN x.is_exported THEN 'exported' WHEN x.is_pub THEN 'public' ELSE 'root' END) AS entry FROM d JOIN edges e ON e.src = d.node_id JOIN d p ON p.node_id = e.dst AND p.depth = d.depth - 1 JOIN nodes n ON n.node_id = p.node_id JOIN defs x ON x.node_id = d.node_id GROUP BY 1, 2"),
     "shortest_paths": (lambda g: flows.shortest_paths(g, [0, 1], 7).select(F.array_join("path", ">").alias("path")), None),
     "call_tree": (lambda g: flows.call_tree(g, 5), None),
-    "hot_io": (flows.hot_io, None),
-    "ranked_roots": (flows.ranked_roots, None),
     "suggest": (lambda g: text.suggest(g.defs, "palte"), None),
-    "lens_cycles": (lenses.cycle_diagnostics, None),
-    "lens_recursion": (lenses.recursion_cycles, None),
-    "cyclicity": (lenses.cyclicity, None),
-    "god_types": (lambda g: lenses.god_types(g, 3, 150), WITH + "SELECT module_path, count(*) AS methods, sum(lines_of_code)::BIGINT AS lines FROM nodes WHERE kind = 'method' AND NOT is_test GROUP BY 1 HAVING count(*) >= 3 OR sum(lines_of_code) >= 150"),
-    "export_dot": (lambda g: export.dot(g).where("part = 2").select("line"), WITH + "SELECT concat('  ', src, ' -> ', dst, ' [label=\"', kind, '\"];') AS line FROM edges"),
-    "export_graphml": (lambda g: export.graphml(g).where("part = 2").select("line"), WITH + "SELECT concat('    <edge id=\"e', src, '-', dst, '-', kind, '\" source=\"', src, '\" target=\"', dst, '\"><data key=\"ekind\">', kind, '</data></edge>') AS line FROM edges"),
     "export_json": (export.json_rows, None),
+    "lens_paradigm": (lenses.paradigm, f"{WITH}, {PARADIGM} SELECT methods, purity, CASE WHEN methods >= 0.6 THEN 'object_oriented' WHEN methods <= 0.35 AND purity >= 0.6 THEN 'functional' ELSE 'mixed' END AS style FROM p"),
+    "blocking_levels": (lambda g: flows.blocking_levels(g, 4), f"{WITH}, {STEPS_IN}, {_levels(4, False, 'l')} SELECT l.node_id, any_value(l.level) AS level, arg_min(p.node_id, n.qualified_name) AS next FROM l LEFT JOIN steps_in ON src = l.node_id LEFT JOIN l p ON p.node_id = dst AND p.level = l.level - 1 LEFT JOIN nodes n ON n.node_id = p.node_id GROUP BY 1"),
+    "lens_async_blocking": (flows.async_blocking, f"{WITH}, {ASYNC} {ASYNC_ROWS}"),
+    "async_calls": (lambda g: flows.async_calls(g).select("node_id", "depth", "calls"), f"{WITH}, {ASYNC} SELECT * FROM ac"),
+    "lens_loops": (flows.loop_diagnostics, f"{WITH}, {STEPS_IN}, {LOOPS} {LOOP_ROWS}"),
+    "loop_calls": (flows.loop_calls, f"{WITH}, {STEPS_IN}, {LOOPS} SELECT * FROM lc"),
+    "diag_counts": (lambda g: lenses.diagnostics(g, cycles=False).groupBy("code", "severity").agg(F.count("*").alias("n")), FOUND + "SELECT code, severity, count(*) AS n FROM found GROUP BY 1, 2"),
+    "summary": (_summary, FOUND + "SELECT (SELECT count(*) FROM nodes WHERE kind <> 'external') AS functions, (SELECT count(*) FROM nodes WHERE kind = 'external') AS externals, (SELECT count(*) FROM edges) AS edges, (SELECT sum(count)::BIGINT FROM edges) AS calls, (SELECT count(*) FROM found) AS diagnostics"),
+    "cycles": (iterate.cycles, CLOSURE + " SELECT node_id, component FROM scc WHERE size > 1"),
+    "lens_cycles": (lenses.cycle_diagnostics, CLOSURE + ", m AS (SELECT * FROM scc JOIN defs USING (node_id)), o AS (SELECT component, arg_min(node_id, lpad((1000000 - fan_in)::VARCHAR, 8, '0') || qualified_name) AS node_id, count(*) AS n, count(DISTINCT module_path) AS scopes FROM m GROUP BY 1) SELECT 'cycle' AS code, CASE WHEN n = 1 OR scopes = 1 THEN 'low' WHEN n >= 6 OR scopes >= 3 THEN 'high' ELSE 'medium' END AS severity, node_id, n::DOUBLE AS value FROM o"),
+    "lens_recursion": (lenses.recursion_cycles, CLOSURE + " SELECT 'recursion_cycle' AS code, CASE WHEN size >= 4 THEN 'high' ELSE 'medium' END AS severity, node_id, size::DOUBLE AS value FROM scc WHERE size >= 2"),
+    "cyclicity": (lenses.cyclicity, CLOSURE + " SELECT (SELECT count(*) FROM scc) / (SELECT count(*) FROM nodes)::DOUBLE AS cyclicity"),
+    "hot_io": (flows.hot_io, f"{WITH}, {STEPS_IN}, {_levels(4, True, 'l')} SELECT node_id, callers, level FROM (SELECT dst AS node_id, count(DISTINCT src) AS callers FROM edges WHERE src <> dst GROUP BY 1) JOIN l USING (node_id) JOIN nodes USING (node_id) WHERE callers >= 8 AND kind <> 'external' ORDER BY callers DESC, node_id LIMIT 5"),
+    "reachable_whole": (lambda g: iterate.reachable(g, [0, 1]), WITH + ", r(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id IN (0, 1) UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = r.node_id WHERE depth < 64) SELECT node_id, min(depth) AS depth FROM r GROUP BY 1"),
+    "flows_from_entries_whole": (lambda g: flows.flows_from_entries(g, 7, None), DEGREES + RUN_ROOTS + TIERS.rstrip(", \n") + ", u(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM u JOIN edges ON dst = u.node_id WHERE depth < 64), d AS (SELECT node_id, min(depth) AS hops FROM u GROUP BY 1) SELECT node_id, tier, hops, row_number() OVER (ORDER BY tier_rank, hops, qualified_name)::INT AS rank FROM tiers JOIN d USING (node_id) JOIN nodes USING (node_id)"),
+    "ranked_roots": (flows.ranked_roots, DEGREES + RUN_ROOTS + """, rs AS (SELECT DISTINCT node_id FROM rr), r(root, node_id) AS (SELECT node_id, node_id FROM rs UNION SELECT root, dst FROM r JOIN edges ON src = r.node_id),
+c AS (SELECT root AS node_id, count(CASE WHEN nodes.kind <> 'external' AND root <> r.node_id THEN 1 END) AS reach FROM r JOIN nodes ON nodes.node_id = r.node_id GROUP BY 1),
+x AS (SELECT rr.*, reach, kind <> 'spawned' AND node_id = (SELECT node_id FROM rr JOIN c USING (node_id) WHERE kind <> 'spawned' ORDER BY reach DESC, node_id LIMIT 1) AS "primary" FROM rr JOIN c USING (node_id))
+SELECT *, row_number() OVER (ORDER BY "primary" DESC, CASE kind WHEN 'program' THEN 0 WHEN 'exported' THEN 1 ELSE 2 END, test_only, reach DESC, node_id)::INT AS rank FROM x"""),
+    "export_dot": (lambda g: export.dot(g).select("part", "line"), WITH + """SELECT 0 AS part, concat('digraph codeloom {', chr(10), '  rankdir=LR;', chr(10), '  node [shape=box, fontname="monospace"];') AS line UNION ALL
+SELECT 1, concat('  ', node_id, ' [label="', name, '", tooltip="', qualified_name, '"', CASE WHEN kind = 'external' THEN ', style=dashed, color=gray' WHEN decision_points + 1 > 10 THEN ', color=red' ELSE '' END, '];') FROM nodes UNION ALL
+SELECT 2, concat('  ', src, ' -> ', dst, ' [label="', kind, '"];') FROM edges UNION ALL SELECT 3, '}'"""),
+    "export_graphml": (lambda g: export.graphml(g).where("part > 0 and part < 3").select("part", "line"), WITH + """SELECT 1 AS part, concat('    <node id="', node_id, '"><data key="name">', name, '</data><data key="qname">', qualified_name, '</data><data key="kind">', kind, '</data><data key="cc">', decision_points + 1, '</data></node>') AS line FROM nodes UNION ALL
+SELECT 2, concat('    <edge id="e', src, '-', dst, '-', kind, '" source="', src, '" target="', dst, '"><data key="ekind">', kind, '</data></edge>') FROM edges"""),
 }
 
 
@@ -171,9 +186,9 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two lines of every document with one line around."""
+    """Documents of 20 lines at most, of others the first two lines with one around."""
     sources = _sources(spark, sf_dir)
-    return text.snippets(sources.select("path", F.lit(1).alias("start"), F.lit(2).alias("stop")), sources, 1)
+    return text.snippets(sources.select("path", F.lit(1).alias("start"), F.lit(2).alias("stop")), sources, 1, 20)
 
 
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,13 +204,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {name: (lambda spark, sf_dir, f=f: f(graph(spark, sf_dir))) for name, (f, _) in GRAPH.items()}
-    return found | {"crate_lines": _line_counts, "snippets": _snippets, "incremental_stats": _incremental}
+    from . import more
+
+    found = {name: (lambda spark, sf_dir, f=f: f(graph(spark, sf_dir))) for name, (f, _) in (GRAPH | more.GRAPH).items()}
+    return found | {"crate_lines": _line_counts, "snippets": _snippets, "incremental_stats": _incremental} | {name: f for name, (f, _) in more.TABLES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: sql for name, (_, sql) in GRAPH.items() if sql}
+    from . import more
+
+    found = {name: sql for name, (_, sql) in (GRAPH | more.GRAPH | more.TABLES).items() if sql}
     return found | {"crate_lines": "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS lines FROM documents",
-        "snippets": "WITH x AS (SELECT doc_id::VARCHAR AS path, string_split(text, chr(10)) AS parts FROM documents), y AS (SELECT path, unnest(range(1, len(parts) + 1))::INT AS number, unnest(parts) AS line FROM x) SELECT path, 1 AS start, number, line FROM y WHERE number BETWEEN 0 AND 3",
+        "snippets": "WITH x AS (SELECT doc_id::VARCHAR AS path, string_split(text, chr(10)) AS parts FROM documents), y AS (SELECT path, len(parts) AS n, unnest(range(1, len(parts) + 1))::INT AS number, unnest(parts) AS line FROM x) SELECT path, 1 AS start, number, line FROM y WHERE n <= 20 OR number BETWEEN 0 AND 3",
         "incremental_stats": "SELECT count(*) AS total, count(*) FILTER (doc_id % 3 <> 0) AS reused, count(*) FILTER (doc_id % 3 = 0) AS reparsed FROM documents",
     }
