@@ -6,6 +6,8 @@ packages, small beside the code; closures over it are still frontier loops over
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,13 +57,14 @@ def dependencies(crates: DataFrame, dev: bool = False) -> DataFrame:
 
 def closure(crates: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(idx, dep): every crate that each crate reaches over normal dependencies, itself too; ``starts`` (idx, dep) in its place."""
-    steps = _cut(dependencies(crates).select(F.col("idx").alias("dep"), F.col("dep").alias("next")))
-    seen = front = _cut((crates.select("idx", (F.col("idx") + 0).alias("dep")) if starts is None else starts).distinct())
-    while not front.isEmpty():
-        step = front.join(steps, "dep").select("idx", F.col("next").alias("dep")).distinct()
-        front = _cut(step.join(seen, ["idx", "dep"], "left_anti"))
-        seen = _cut(seen.unionByName(front))
-    return seen
+    steps = _cut(dependencies(crates).select(F.col("idx").alias("at"), F.col("dep").alias("next")))
+    first = crates.select("idx", F.col("idx").alias("dep")) if starts is None else starts
+    fronts = [_cut(first.distinct())]
+    while not fronts[-1].isEmpty():
+        step = fronts[-1].select(F.col("idx").alias("start"), F.col("dep").alias("at")).join(steps, "at").select(F.col("start").alias("idx"), F.col("next").alias("dep")).distinct()
+        seen = reduce(DataFrame.unionByName, fronts).select(F.col("idx").alias("seen_idx"), F.col("dep").alias("seen_dep"))
+        fronts.append(_cut(step.join(seen, (F.col("idx") == F.col("seen_idx")) & (F.col("dep") == F.col("seen_dep")), "left_anti")))
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def visibility(crates: DataFrame) -> DataFrame:
