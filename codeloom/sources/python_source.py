@@ -117,12 +117,12 @@ def resolve(defs: DataFrame, calls: DataFrame) -> Graph:
     # One row for each name and module, and one for each name: joins on names then stay linear.
     best = lambda *keys, on="true": inner.where(on).groupBy(*keys).agg(F.min_by("node_id", F.struct("file", "ord")).alias("hit"))
     sides = []
-    for kind, on in (("direct_call", "kind <> 'method'"), ("method_call", "true")):
+    for kind, on in (("direct_call", "kind <> 'method'"), ("method_call", "true"), ("associated_call", "true")):
         near = best("name", "module_path", on=on).withColumnRenamed("hit", "near")
         far = best("name", on=on).withColumnRenamed("hit", "far")
         rows = calls.where(F.col("kind") == kind).withColumnRenamed("short", "name")
         sides.append(rows.join(near, ["name", "module_path"], "left").join(far, "name", "left"))
-    hits = sides[0].unionByName(sides[1]).join(inner.select(F.col("qualified_name").alias("caller"), F.col("node_id").alias("src")), "caller")
+    hits = sides[0].unionByName(sides[1]).unionByName(sides[2]).join(inner.select(F.col("qualified_name").alias("caller"), F.col("node_id").alias("src")), "caller")
     hits = hits.withColumn("inner", F.coalesce("near", "far")).withColumn("dst", F.coalesce("inner", F.xxhash64(F.concat(F.lit("external "), "name"))))
     outer = hits.where("inner is null").select(F.col("dst").alias("node_id"), "name").distinct().select("node_id", "name", F.col("name").alias("qualified_name"), F.lit("").alias("module_path"), F.lit("external").alias("kind"))
     nodes = inner.drop("ord").unionByName(outer, allowMissingColumns=True)
