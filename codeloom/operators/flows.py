@@ -33,15 +33,15 @@ def reach_counts(g: Graph, roots: DataFrame, max_depth: int | None = None) -> Da
     One loop for all roots; its state has a row for each pair of a root and a node that it reaches.
     """
     steps = _cut(g.edges.select(F.col("src").alias("at"), F.col("dst").alias("node_id")).distinct())
-    seen = _cut(roots.select(F.col("node_id").alias("root"), "node_id").distinct())
-    front = seen
+    fronts = [_cut(roots.select(F.col("node_id").alias("root"), "node_id").distinct())]
     for _ in rounds(max_depth):
-        step = steps.join(front.select("root", F.col("node_id").alias("at")), "at").select("root", "node_id").distinct()
-        front = _cut(step.join(seen, ["root", "node_id"], "left_anti"))
-        if front.isEmpty():
+        step = steps.join(fronts[-1].select(F.col("root").alias("start"), F.col("node_id").alias("at")), "at").select(F.col("start").alias("root"), "node_id").distinct()
+        seen = _union(fronts).select(F.col("root").alias("seen_root"), F.col("node_id").alias("seen_id"))
+        new = _cut(step.join(seen, (F.col("root") == F.col("seen_root")) & (F.col("node_id") == F.col("seen_id")), "left_anti"))
+        if new.isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
-    inner = seen.where("root <> node_id").join(g.defs.select("node_id"), "node_id", "left_semi")
+        fronts.append(new)
+    inner = _union(fronts).where("root <> node_id").join(g.defs.select("node_id"), "node_id", "left_semi")
     counts = inner.groupBy("root").agg(F.count("*").alias("reach")).withColumnRenamed("root", "node_id")
     return roots.select("node_id").distinct().join(counts, "node_id", "left").select("node_id", F.coalesce("reach", F.lit(0)).alias("reach"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import itertools
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from .graph import Graph
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return df.checkpoint()
 
@@ -34,15 +37,15 @@ def reachable(g: Graph, roots: list[int], max_depth: int | None = None, up: bool
     spark = steps.sparkSession
     kind = dict(g.nodes.dtypes)["node_id"]
     known = spark.createDataFrame([(x,) for x in roots], f"node_id {kind}").join(g.nodes.select("node_id"), "node_id", "left_semi")
-    seen = _cut(known.distinct().withColumn("depth", F.lit(0)))
-    front = seen
+    fronts = [_cut(known.distinct().withColumn("depth", F.lit(0)))]
     for depth in rounds(max_depth):
-        front = steps.join(front.select(F.col("node_id").alias("at")), "at").select("node_id").distinct().join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth))
-        front = _cut(front)
-        if front.isEmpty():
+        seen = reduce(DataFrame.unionByName, fronts).select("node_id")
+        step = steps.join(fronts[-1].select(F.col("node_id").alias("at")), "at").select("node_id").distinct()
+        new = _cut(step.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth)))
+        if new.isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
-    return seen
+        fronts.append(new)
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def impact(g: Graph, node_id: int, max_depth: int = 3) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import advice, crates, flows, lenses, navigate
+from codeloom.operators import advice, crates, flows, layout, lenses, navigate
 from codeloom.operators.graph import Graph
+from codeloom.sources import scan
 
 from . import fixture
 from .catalog import BLOCKED, CC, DEGREES, FOUND, LOOPS, RUN_ROOTS, SEARCH, STEPS_IN, TIERS, _levels
@@ -92,6 +93,8 @@ GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "suggestions": (lambda g: advice.suggestions(lenses.diagnostics(g, cycles=False), None, "backend", {"latency": 1.3, "robustness": 0.5}), None),
     "extended_counts": (lambda g: advice.extended_suggestions(lenses.extended(g), "backend").select("rule", "priority"), None),
     "findings": (_finding_rows, FINDINGS + "SELECT * FROM f"),
+    "scene": (layout.scene, DEGREES + f"SELECT node_id, 4.0 + 2.0 * sqrt(fan_in) AS radius, least(1.0, {CC} / 20.0)::DOUBLE AS heat FROM defs"),
+    "layout_by_crate": (lambda g: layout.layout_by_crate(g, crates.group_of(g).where("grp <> '<external>'"), crates.group_layers(g), 20), None),
     "finding_counts": (lambda g: advice.finding_counts(_finding_rows(g)), FINDINGS + "SELECT priority, count(*) AS findings FROM f GROUP BY 1"),
 }
 
@@ -124,6 +127,36 @@ cv AS (SELECT idx, name, coalesce(files, 0) AS files, coalesce(lines, 0) AS line
   (SELECT count(*) FROM ac WHERE a = cr.idx) AS calls_out, (SELECT count(*) FROM ac WHERE b = cr.idx) AS calls_in, depth, usage FROM cr LEFT JOIN fs USING (idx) LEFT JOIN fn USING (idx) JOIN hs USING (idx) JOIN us USING (idx))
 """
 
+#: A file for each part in each language: its function calls that of the part whose key is the size.
+SOURCES = {
+    "rust": ("part/src/p{k}.rs", "// a call: f0();\npub fn f{k}() {{ if true {{ f{s}(); }} }}\n", "part::p"),
+    "python": ("part/p{k}.py", "# f0()\ndef f{k}():\n    if True:\n        f{s}()\n", "part::p"),
+    "go": ("part/p{k}.go", "package part\n// f0()\nfunc f{k}() {{ if true {{ f{s}() }} }}\n", None),
+    "typescript": ("part/p{k}.ts", "// f0()\nexport function f{k}() {{ if (true) {{ f{s}(); }} }}\n", "part::p"),
+    "cpp": ("part/p{k}.cpp", "// f0()\nint f{k}() {{ if (true) {{ return f{s}(); }} }}\n", "part::p"),
+}
+
+
+def _extracted(language: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fill = lambda text: F.regexp_replace(F.regexp_replace(F.lit(text.replace("{{", "<<").replace("}}", ">>")), r"\{k\}", F.col("p_partkey").cast("string")), r"\{s\}", F.col("p_size").cast("string"))
+        path, text, _ = SOURCES[language]
+        rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(fill(path).alias("path"), F.regexp_replace(F.regexp_replace(fill(text), "<<", "{"), ">>", "}").alias("text"))
+        g = scan.ADAPTERS[language](rows)
+        names = lambda end: g.nodes.select(F.col("node_id").alias(end), F.col("qualified_name").alias(f"{end}_name"))
+        stats = g.defs.select(F.col("node_id").alias("src"), "decision_points", "max_nesting")
+        return g.edges.join(names("src"), "src").join(names("dst"), "dst").join(stats, "src").select(F.col("src_name").alias("caller"), F.col("dst_name").alias("callee"), "kind", "count", "line", "decision_points", "max_nesting")
+
+    return run
+
+
+def _extracted_sql(language: str) -> str:
+    scope = SOURCES[language][2]
+    name = (lambda key: f"concat('part::f', {key})") if scope is None else (lambda key: f"concat('{scope}', {key}, '::f', {key})")
+    line = {"rust": 2, "python": 4, "go": 3, "typescript": 2, "cpp": 2}[language]
+    return f"SELECT {name('p.p_partkey')} AS caller, CASE WHEN q.p_partkey IS NULL THEN concat('f', p.p_size) ELSE {name('q.p_partkey')} END AS callee, CASE WHEN q.p_partkey IS NULL THEN 'unresolved' ELSE 'direct_call' END AS kind, 1 AS count, {line} AS line, 1 AS decision_points, 1 AS max_nesting FROM part p LEFT JOIN part q ON q.p_partkey = p.p_size"
+
+
 TABLES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "call_sites": (lambda spark, sf: navigate.call_sites(fixture.calls(spark, sf)), WITH + "SELECT src, dst, kind, coalesce(string_agg(concat(line, ':', col), ',' ORDER BY line, col) FILTER (line > 0), '') AS sites FROM (SELECT DISTINCT src, dst, kind, line, col FROM calls) GROUP BY 1, 2, 3"),
     "crate_of": (lambda spark, sf: _file_crate(fixture.graph(spark, sf), fixture.crates(spark, sf)), f"{WITH}, {DEPS} SELECT DISTINCT file, idx FROM nodes JOIN cr ON cr.name = split_part(file, '/', 1)"),
@@ -135,4 +168,5 @@ TABLES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "crate_usage": (lambda spark, sf: crates.usage(fixture.crates(spark, sf)), f"WITH RECURSIVE {DEPS}, {USAGE} SELECT * FROM us"),
     "crate_view": (_crate_view, VIEW + "SELECT * FROM cv"),
     "crate_findings": (_crate_findings, VIEW + "SELECT CASE WHEN lines >= 4000 THEN 1 ELSE 2 END AS priority, 'crate_blast_radius' AS kind, name AS symbol, lines * (rebuild + 1) AS weight FROM cv WHERE rebuild >= 2 AND lines >= 2000 UNION ALL SELECT 2, 'crate_not_shipped', name, lines FROM cv WHERE usage <> 'shipped'"),
+    **{f"extract_{name}": (_extracted(name), _extracted_sql(name)) for name in SOURCES},
 }

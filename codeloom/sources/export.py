@@ -59,23 +59,63 @@ def json_rows(g: Graph) -> DataFrame:
     return g.nodes.select(F.lit("node").alias("part"), F.to_json(F.struct("*")).alias("row")).unionByName(g.edges.select(F.lit("edge").alias("part"), F.to_json(F.struct("*")).alias("row")))
 
 
+def _paths(spark: SparkSession, *paths: str):
+    jvm = spark._jvm
+    found = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return found[0].getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
 def save_store(g: Graph, path: str, meta: dict[str, str] | None = None) -> None:
-    """Nodes, edges and last the meta rows, so that a store without them is not complete."""
+    """Nodes and edges in a folder beside the store, last the meta rows, then in its place.
+
+    A graph that was loaded from the store may be saved there again. A store without meta rows is not complete.
+    """
     spark = g.nodes.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    g.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    g.edges.write.mode("overwrite").parquet(f"{path}/edges")
-    rows = (meta or {}) | {"version": str(VERSION), "schema": json.dumps([g.nodes.columns, g.edges.columns])}
-    spark.createDataFrame(list(rows.items()), "key string, value string").coalesce(1).write.parquet(f"{path}/meta")
+    new = f"{path.rstrip('/')}.new"
+    fs, (at, staged) = _paths(spark, path, new)
+    fs.delete(staged, True)
+    g.nodes.write.parquet(f"{new}/nodes")
+    g.edges.write.parquet(f"{new}/edges")
+    rows = {"version": str(VERSION)} | (meta or {}) | {"version": str(VERSION), "schema": json.dumps([g.nodes.columns, g.edges.columns])}
+    spark.createDataFrame(list(rows.items()), "key string, value string").coalesce(1).write.parquet(f"{new}/meta")
+    fs.delete(at, True)
+    fs.rename(staged, at)
+
+
+def store_meta(spark: SparkSession, path: str) -> dict[str, str] | None:
+    """The meta rows of a complete store."""
+    fs, (at,) = _paths(spark, f"{path}/meta/_SUCCESS")
+    return {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/meta").collect()} if fs.exists(at) else None
 
 
 def load_store(spark: SparkSession, path: str) -> Graph | None:
     """The stored graph; None if it is not there, not complete or of another version."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return None
-    meta = spark.read.parquet(f"{path}/meta")
-    if meta.where((F.col("key") == "version") & (F.col("value") == str(VERSION))).isEmpty():
+    meta = store_meta(spark, path)
+    if meta is None or meta.get("version") != str(VERSION):
         return None
     return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+
+
+def store_summary(spark: SparkSession, path: str) -> DataFrame | None:
+    """One row: how many nodes and edges are stored."""
+    g = load_store(spark, path)
+    return None if g is None else g.nodes.agg(F.count("*").alias("nodes")).crossJoin(g.edges.agg(F.count("*").alias("edges")))  # one row each
+
+
+def save_fragments(rows: DataFrame, path: str) -> None:
+    """What extraction gave for each file, by file name in as many folders as its hash has first digits."""
+    rows.withColumn("shard", F.substring(F.sha2("file", 256), 1, 2)).write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def load_fragments(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The stored rows; none if there is no such store."""
+    fs, (at,) = _paths(spark, f"{path}/_SUCCESS")
+    return spark.read.schema(schema).parquet(path).drop("shard") if fs.exists(at) else spark.createDataFrame([], schema)
+
+
+def report_rows(g: Graph, metrics: DataFrame, diagnostics: DataFrame, suggestions: DataFrame, vertical: str) -> DataFrame:
+    """(part, row): the whole report as JSON rows: vertical, nodes, edges, metrics, diagnostics and suggestions."""
+    spark = g.nodes.sparkSession
+    head = spark.createDataFrame([("vertical", json.dumps(vertical))], "part string, row string")
+    part = lambda df, name: df.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("row"))
+    return head.unionByName(json_rows(g)).unionByName(part(metrics, "metric")).unionByName(part(diagnostics, "diagnostic")).unionByName(part(suggestions, "suggestion"))

@@ -33,3 +33,13 @@ def follow(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], path: s
         extract(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def update(sources: DataFrame, cached: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``extract`` gives for (path, text), with the hash of each file: those of unchanged files come
+    from ``cached`` (file, hash and the rows), only changed files are read again, and files that are gone drop out."""
+    marks = sources.select(F.col("path").alias("file"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    changed, _ = split(sources, cached.select(F.col("file").alias("path"), "hash"))
+    fresh = extract(changed.select("path", "text")).join(marks, "file")
+    kept = cached.join(marks, ["file", "hash"], "left_semi")
+    return kept.unionByName(fresh.select(kept.columns))
