@@ -6,7 +6,7 @@ import pytest
 from codeloom.operators import graph as ops
 from codeloom.operators import iterate, lenses
 from codeloom.operators.graph import Graph
-from codeloom.plans import catalog
+from codeloom.plans import catalog, more
 
 SF = "/root/testdata/sf0.001"
 NODE = "node_id long, name string, qualified_name string, module_path string, kind string, file string, start_line int, end_line int, is_pub boolean, is_async boolean, is_test boolean, is_unsafe boolean, is_exported boolean, is_example boolean, decision_points int, parameters int, lines_of_code int, max_nesting int, allocations int, awaits int, unsafe_blocks int"
@@ -84,9 +84,17 @@ def plain(v):
     return None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
 
+@pytest.fixture(scope="module")
+def whole(spark):
+    """The fixture graph, read once."""
+    g = catalog.graph(spark, SF)
+    return Graph(g.nodes.cache(), g.edges.cache())
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
-def test_against_sql(spark, duck, name):
-    got = catalog.queries()[name](spark, SF)
+def test_against_sql(spark, duck, whole, name):
+    on_graph = catalog.GRAPH | more.GRAPH
+    got = on_graph[name][0](whole) if name in on_graph else catalog.queries()[name](spark, SF)
     cur = duck.execute(catalog.oracle_sql()[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(got.columns)
