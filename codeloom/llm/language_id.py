@@ -33,8 +33,8 @@ TRAIN_DOCS = 2_000
 MIN_CONTEXT = 8
 SLICE = 1 << 19
 UNKNOWN = "und"
-#: A text costs less than this under its language, or it shows no language: bits a byte of letters drawn evenly, and bits more for any text.
-MAX_BITS, SPARE_BITS = math.log2(26), 32
+#: A text costs less than this under its language, or it shows no language: bits a byte of letters drawn evenly, and bits more for any text, which one long key or address may cost.
+MAX_BITS, SPARE_BITS = math.log2(26), 256
 
 
 def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

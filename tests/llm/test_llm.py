@@ -363,6 +363,16 @@ def test_language_edges(edge):
     assert language_id.identify(edge.limit(0)).count() == 0
 
 
+def test_language_stage_rejects_what_no_language_explains(spark):
+    rng = random.Random(2)
+    words = "the cat sat on a mat and saw that it was good to be there with some of them".split()
+    docs = [(k, " ".join(rng.choice(words) for _ in range(60)), "en", "a") for k in range(60)]
+    dump = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(600))
+    key = docs[0][1] + " key " + dump[:30]
+    got = {r["doc_id"] for r in language_id.keep_identified(docs_of(spark, [*docs, (100, dump, None, "a"), (101, key, "en", "a"), (102, "12 -- 7", "en", "a")])).collect()}
+    assert got == {*range(60), 101}
+
+
 def test_quality(spark, edge):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = [r for r in quality.classify(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).collect() if r["held_out"] and r["doc_id"] in labels]
