@@ -73,9 +73,9 @@ def test_call_tree_expands_once(spark):
 
 
 def test_suggestions(spark):
-    assert [text.osa_distance(*p) for p in (("prase", "parse"), ("", "ab"), ("abc", "abc"), ("ca", "abc"))] == [1, 2, 0, 3]
-    defs = spark.createDataFrame([(1, "parse", "app::parse"), (2, "run", "app::parser::ask::here"), (3, "other", "app::other")], "node_id long, name string, qualified_name string")
-    assert [r["node_id"] for r in text.suggest(defs, "prase").collect()] == [1, 2]
+    assert [text.osa_distance(*p) for p in (("gird", "grid"), ("", "ab"), ("abc", "abc"), ("ca", "abc"))] == [1, 2, 0, 3]
+    defs = spark.createDataFrame([(1, "grid", "app::grid"), (2, "run", "app::gather::include::round"), (3, "other", "app::other")], "node_id long, name string, qualified_name string")
+    assert [r["node_id"] for r in text.suggest(defs, "gird").collect()] == [1, 2]
 
 
 def test_verticals_and_layers(spark, graph):
@@ -113,7 +113,7 @@ def test_every_definition_has_its_places(spark):
 
     sf = "/root/testdata/sf0.001"
     defs = {r["node_id"] for r in fixture(spark, sf).defs.where("start_line + 3 <= end_line").collect()}  # its place is inside
-    assert {r["node_id"] for r in catalog.queries()["node_at_every"](spark, sf).collect()} == defs
+    assert {r["node_id"] for r in catalog.queries()["node_at"](spark, sf).collect()} == defs
 
 
 def test_registered_whole_reach(spark):
