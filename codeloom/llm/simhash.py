@@ -16,11 +16,13 @@ its segments in the table of segments, and the full distance of every match is v
   above, gives its first links. It cannot give all of them: at 0.8 about 15% of the bits differ, and no
   ball of a bearable size reaches that far (README). So the links are completed by pairs that share one of
   ``BANDS`` MinHash bands, whose chance depends on the similarity alone and not on the length. Every
-  candidate's shingle sets are compared whole. No band is paired within itself: in each of ``PIVOT_ROUNDS``
-  rounds its classes meet ``PIVOTS`` of them, others each round, and only across the components found so
-  far. That is every pair of a band of up to four classes, and linear work in a band of any size. A link is
-  missed only if neither end is ever a pivot of a band that both share and no other way joins them; the
-  README has the recall as measured.
+  candidate's shingle sets are compared whole. No band is paired within itself: its classes meet ``PIVOTS`` of
+  them, which is every pair of a band of up to ``PIVOTS + 1`` classes and linear work in a band of any size.
+  Two classes of different components that have only wider bands in common meet again by every two of
+  these bands: a pair at 0.8 shares fewer than two of the 24 with a probability of 6e-5, one at 0.4 two or
+  more with 0.13. These finer groups have pivots as well, others each round, until a round finds no link. A link is
+  missed only if neither end is ever a pivot of a wide group that both share and no other way joins them;
+  the README has the recall as measured.
 
 Components come from alternating large-star and small-star rounds over written tables.
 
@@ -47,7 +49,6 @@ from .common import discard, mix, numbered, settle, texts_of
 SEED = 42
 MAX_BUCKET = 1_000
 PIVOTS = 3
-PIVOT_ROUNDS = 3
 #: MinHash: a pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 BANDS, ROWS = 24, 4
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))[:, None]
@@ -236,7 +237,20 @@ def _spokes(tables: DataFrame, salt: int) -> DataFrame:
     return met.where("root != p.root").select("x", "n", F.col("p.id").alias("y"), F.col("p.n").alias("m"))
 
 
-def similar_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: int, rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def _wide(tables: DataFrame) -> DataFrame:
+    """The rows of bands that pivots need not have paired whole: of over ``PIVOTS + 1`` classes and several roots."""
+    held = tables.groupBy("slot").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return tables.join(held.where((F.col("held") > PIVOTS + 1) & (F.col("low") != F.col("high"))).select("slot"), "slot", "left_semi")
+
+
+def _twos(tables: DataFrame) -> DataFrame:
+    """Each two bands of a class as one; a class has at most ``BANDS`` bands."""
+    bands = tables.groupBy("id", "n", "root").agg(F.array_sort(F.collect_set("slot")).alias("s"))
+    twos = F.expr(f"flatten(transform(s, (x, i) -> transform(slice(s, i + 2, {BANDS}), y -> xxhash64(x, y))))")
+    return bands.select("id", "n", "root", F.explode(twos).alias("slot"))
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b) with a < b: class ids with a shingle similarity of ``percent`` or more.
 
     ``classes`` has ``id``, ``n``, ``w0``, ``slots`` and the ``mark`` of one text; ``texts`` has ``mark`` and ``text``.
@@ -246,12 +260,14 @@ def similar_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: i
     ordered = lambda df: df.where(sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tried = [settle(ordered(simhash_pairs(classes.select("id", "n", "w0")).unionByName(_spokes(tables, 0))), "spokes")]
     found = [settle(_similar(tried[0], classes, texts, shingle, percent), "links")]
-    for k in range(1, rounds):
+    finer = _twos
+    while not found[-1].isEmpty():
         # From here on only pairs of different components count.
         roots = components(reduce(DataFrame.unionByName, found))
-        before, tables = tables, settle(tables.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "slots")
+        rooted = tables.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        before, tables, finer = tables, settle(finer(_wide(rooted)), "slots"), lambda df: df
         discard(before)
-        new = settle(ordered(_spokes(tables, k)).join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "spokes")
+        new = settle(ordered(_spokes(tables, len(tried))).join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "spokes")
         tried.append(new)
         found.append(settle(_similar(new, classes, texts, shingle, percent), "links"))
     discard(tables, *tried)
