@@ -237,17 +237,17 @@ def _spokes(tables: DataFrame, salt: int) -> DataFrame:
     return met.where("root != p.root").select("x", "n", F.col("p.id").alias("y"), F.col("p.n").alias("m"))
 
 
-def _wide(tables: DataFrame) -> DataFrame:
-    """The rows of bands that pivots need not have paired whole: of over ``PIVOTS + 1`` classes and several roots."""
+def _wide(tables: DataFrame, above: int = PIVOTS + 1) -> DataFrame:
+    """The rows of bands of over ``above`` classes and several roots; of up to ``PIVOTS + 1`` pivots paired every two."""
     held = tables.groupBy("slot").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return tables.join(held.where((F.col("held") > PIVOTS + 1) & (F.col("low") != F.col("high"))).select("slot"), "slot", "left_semi")
+    return tables.join(held.where((F.col("held") > above) & (F.col("low") != F.col("high"))).select("slot"), "slot", "left_semi")
 
 
 def _twos(tables: DataFrame) -> DataFrame:
-    """Each two bands of a class as one; a class has at most ``BANDS`` bands."""
+    """Each two bands of a class as one, where several roots have both; a class has at most ``BANDS`` bands."""
     bands = tables.groupBy("id", "n", "root").agg(F.array_sort(F.collect_set("slot")).alias("s"))
     twos = F.expr(f"flatten(transform(s, (x, i) -> transform(slice(s, i + 2, {BANDS}), y -> xxhash64(x, y))))")
-    return bands.select("id", "n", "root", F.explode(twos).alias("slot"))
+    return _wide(bands.select("id", "n", "root", F.explode(twos).alias("slot")), 1)
 
 
 def similar_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
