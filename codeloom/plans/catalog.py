@@ -140,15 +140,14 @@ SELECT a.node_id, count(src) AS edges FROM a LEFT JOIN (SELECT * FROM e WHERE ds
     "lens_hotspot": (lenses.hotspots, DEGREES + ", v AS (SELECT dst AS node_id, sum(count) AS volume FROM edges GROUP BY 1) SELECT 'hotspot' AS code, CASE WHEN fan_in >= 12 OR volume >= 32 THEN 'high' ELSE 'medium' END AS severity, node_id, volume::DOUBLE AS value FROM defs JOIN v USING (node_id) WHERE fan_in >= 2 AND (fan_in >= 6 OR volume >= 16)"),
     "lens_unstable_dependency": (lenses.unstable_dependencies, DEGREES + f", r AS (SELECT src AS node_id, count(*) AS n, round(avg(({CC} > 10 OR fan_in >= 10)::INT), 6) AS ratio FROM edges JOIN defs ON defs.node_id = dst GROUP BY 1) SELECT 'unstable_dependency' AS code, CASE WHEN ratio >= 0.75 THEN 'medium' ELSE 'low' END AS severity, node_id, ratio::DOUBLE AS value FROM r WHERE n >= 5 AND ratio >= 0.5"),
     "lens_self_recursion": (lenses.self_recursion, WITH + "SELECT 'self_recursion' AS code, 'low' AS severity, src AS node_id, count::DOUBLE AS value FROM edges WHERE src = dst"),
-    "reachable": (lambda g: iterate.reachable(g, [0, 1], 8), WITH + ", r(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id IN (0, 1) UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = r.node_id WHERE depth < 8) SELECT node_id, min(depth) AS depth FROM r GROUP BY 1"),
+    "reachable": (lambda g: iterate.reachable(g, [0, 1]), WITH + ", r(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id IN (0, 1) UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = r.node_id WHERE depth < 64) SELECT node_id, min(depth) AS depth FROM r GROUP BY 1"),
     "impact": (lambda g: iterate.impact(g, 7, 6), WITH + ", r(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM r JOIN edges ON dst = r.node_id WHERE depth < 6) SELECT depth, count(*) AS callers FROM (SELECT node_id, min(depth) AS depth FROM r GROUP BY 1) WHERE depth > 0 GROUP BY 1"),
     "lens_layering": (_tested_layers, f"{WITH}, {TESTED_LAYERS} SELECT 'layering_violation' AS code, 'medium' AS severity, src AS node_id, dst::DOUBLE AS value FROM edges JOIN l a ON a.node_id = src JOIN l b ON b.node_id = dst WHERE src <> dst AND a.k < b.k"),
     "vertical_scores": (lenses.vertical_scores, WITH + f", v AS (SELECT * FROM (VALUES {', '.join(str((v, w)) for v, words in lenses.VERTICALS.items() for w in words.split())}) t(vertical, word)), t AS (SELECT unnest(regexp_split_to_array(lower(concat(qualified_name, ' ', module_path)), '[^a-z0-9]+')) AS word FROM nodes) SELECT v.vertical, count(t.word)::BIGINT AS score FROM v LEFT JOIN t USING (word) GROUP BY 1"),
     "run_roots": (flows.run_roots, DEGREES + RUN_ROOTS + "SELECT node_id, kind, spawners, test_only FROM rr"),
     "entry_tiers": (flows.entry_tiers, DEGREES + RUN_ROOTS + TIERS + "SELECT node_id, tier, tier_rank FROM tiers"),
-    "flows_from_entries": (lambda g: flows.flows_from_entries(g, 7, 6), DEGREES + RUN_ROOTS + TIERS.rstrip(", \n") + ", u(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM u JOIN edges ON dst = u.node_id WHERE depth < 6), d AS (SELECT node_id, min(depth) AS hops FROM u GROUP BY 1) SELECT node_id, tier, hops, row_number() OVER (ORDER BY tier_rank, hops, qualified_name)::INT AS rank FROM tiers JOIN d USING (node_id) JOIN nodes USING (node_id)"),
-    "reach_counts": (lambda g: flows.reach_counts(g, g.nodes.where("name = 'main'"), 12), WITH + ", r(root, node_id, depth) AS (SELECT node_id, node_id, 0 FROM nodes WHERE name = 'main' UNION SELECT root, dst, depth + 1 FROM r JOIN edges ON src = r.node_id WHERE depth < 12) SELECT root AS node_id, count(DISTINCT CASE WHEN nodes.kind <> 'external' AND root <> r.node_id THEN r.node_id END) AS reach FROM r JOIN nodes ON nodes.node_id = r.node_id GROUP BY 1"),
-    "reach_counts_whole": (lambda g: flows.reach_counts(g, g.nodes.where("name = 'main'")), WITH + ", r(root, node_id) AS (SELECT node_id, node_id FROM nodes WHERE name = 'main' UNION SELECT root, dst FROM r JOIN edges ON src = r.node_id) SELECT root AS node_id, count(CASE WHEN nodes.kind <> 'external' AND root <> r.node_id THEN 1 END) AS reach FROM r JOIN nodes ON nodes.node_id = r.node_id GROUP BY 1"),
+    "flows_from_entries": (lambda g: flows.flows_from_entries(g, 7, None), DEGREES + RUN_ROOTS + TIERS.rstrip(", \n") + ", u(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM u JOIN edges ON dst = u.node_id WHERE depth < 64), d AS (SELECT node_id, min(depth) AS hops FROM u GROUP BY 1) SELECT node_id, tier, hops, row_number() OVER (ORDER BY tier_rank, hops, qualified_name)::INT AS rank FROM tiers JOIN d USING (node_id) JOIN nodes USING (node_id)"),
+    "reach_counts": (lambda g: flows.reach_counts(g, g.nodes.where("name = 'main'")), WITH + ", r(root, node_id) AS (SELECT node_id, node_id FROM nodes WHERE name = 'main' UNION SELECT root, dst FROM r JOIN edges ON src = r.node_id) SELECT root AS node_id, count(CASE WHEN nodes.kind <> 'external' AND root <> r.node_id THEN 1 END) AS reach FROM r JOIN nodes ON nodes.node_id = r.node_id GROUP BY 1"),
     "impact_callers": (lambda g: flows.impact_callers(g, 7, 4), DEGREES + ", u(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM u JOIN edges ON dst = u.node_id WHERE depth < 4), d AS (SELECT node_id, min(depth) AS depth FROM u GROUP BY 1) SELECT d.node_id, d.depth, arg_min(p.node_id, n.qualified_name) AS via, any_value(CASE WHEN x.name = 'main' THEN 'main' WHEN x.fan_in > 0 THEN NULL WHEN x.is_test THEN 'test' WHEN x.is_exported THEN 'exported' WHEN x.is_pub THEN 'public' ELSE 'root' END) AS entry FROM d JOIN edges e ON e.src = d.node_id JOIN d p ON p.node_id = e.dst AND p.depth = d.depth - 1 JOIN nodes n ON n.node_id = p.node_id JOIN defs x ON x.node_id = d.node_id GROUP BY 1, 2"),
     "shortest_paths": (lambda g: flows.shortest_paths(g, [0, 1], 7).select(F.array_join("path", ">").alias("path")), None),
     "call_tree": (lambda g: flows.call_tree(g, 5), None),
@@ -167,8 +166,6 @@ SELECT a.node_id, count(src) AS edges FROM a LEFT JOIN (SELECT * FROM e WHERE ds
     "lens_recursion": (lenses.recursion_cycles, CLOSURE + " SELECT 'recursion_cycle' AS code, CASE WHEN size >= 4 THEN 'high' ELSE 'medium' END AS severity, node_id, size::DOUBLE AS value FROM scc WHERE size >= 2"),
     "cyclicity": (lenses.cyclicity, CLOSURE + " SELECT (SELECT count(*) FROM scc) / (SELECT count(*) FROM nodes)::DOUBLE AS cyclicity"),
     "hot_io": (flows.hot_io, f"{WITH}, {STEPS_IN}, {_levels(4, True, 'l')} SELECT node_id, callers, level FROM (SELECT dst AS node_id, count(DISTINCT src) AS callers FROM edges WHERE src <> dst GROUP BY 1) JOIN l USING (node_id) JOIN nodes USING (node_id) WHERE callers >= 8 AND kind <> 'external' ORDER BY callers DESC, node_id LIMIT 5"),
-    "reachable_whole": (lambda g: iterate.reachable(g, [0, 1]), WITH + ", r(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id IN (0, 1) UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = r.node_id WHERE depth < 64) SELECT node_id, min(depth) AS depth FROM r GROUP BY 1"),
-    "flows_from_entries_whole": (lambda g: flows.flows_from_entries(g, 7, None), DEGREES + RUN_ROOTS + TIERS.rstrip(", \n") + ", u(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE node_id = 7 UNION SELECT src, depth + 1 FROM u JOIN edges ON dst = u.node_id WHERE depth < 64), d AS (SELECT node_id, min(depth) AS hops FROM u GROUP BY 1) SELECT node_id, tier, hops, row_number() OVER (ORDER BY tier_rank, hops, qualified_name)::INT AS rank FROM tiers JOIN d USING (node_id) JOIN nodes USING (node_id)"),
     "ranked_roots": (flows.ranked_roots, DEGREES + RUN_ROOTS + """, rs AS (SELECT DISTINCT node_id FROM rr), r(root, node_id) AS (SELECT node_id, node_id FROM rs UNION SELECT root, dst FROM r JOIN edges ON src = r.node_id),
 c AS (SELECT root AS node_id, count(CASE WHEN nodes.kind <> 'external' AND root <> r.node_id THEN 1 END) AS reach FROM r JOIN nodes ON nodes.node_id = r.node_id GROUP BY 1),
 x AS (SELECT rr.*, reach, kind <> 'spawned' AND node_id = (SELECT node_id FROM rr JOIN c USING (node_id) WHERE kind <> 'spawned' ORDER BY reach DESC, node_id LIMIT 1) AS "primary" FROM rr JOIN c USING (node_id))

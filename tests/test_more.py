@@ -129,5 +129,5 @@ def test_registered_whole_reach(spark):
         depth |= dict.fromkeys(front, max(depth.values()) + 1)
     assert max(depth.values()) > 6
     tiers = {r["node_id"] for r in flows.entry_tiers(fixture(spark, sf)).collect()}
-    got = {r["node_id"]: r["hops"] for r in catalog.queries()["flows_from_entries_whole"](spark, sf).collect()}
+    got = {r["node_id"]: r["hops"] for r in catalog.queries()["flows_from_entries"](spark, sf).collect()}
     assert got == {k: d for k, d in depth.items() if k in tiers}
