@@ -6,14 +6,16 @@ least are a class each; every other token, known or not, falls into one of ``RES
 CRC-32 of its letters, so that all tokens give and get evidence of the state while the model stays of a
 fixed size at any size of the corpus. Within a class a token's share is its count plus one, over those
 of all its tokens and one unknown token; that share is the same in every state, so it leaves the
-recursion as a factor: the forward recursion runs where the text lies, tokens without a class of their
-own alone are shuffled to meet their counts, and the likelihood of the whole text stays exact and
-normalised.
+recursion as a factor: texts are read as classes once, where they lie, for all rounds and the scores; tokens
+without a class of their own alone are shuffled to meet their counts, and the likelihood of the whole
+text stays exact and normalised.
 
 Baum-Welch: each partition adds up expected counts of starts, transitions and emissions over whole
 texts, and the sums are merged in two streamed steps by slices of the classes (first among 64 partitions,
-then over all). The first ``WARM_ROUNDS`` read a share of ``1 / WARM_SHARE`` of the training documents,
-chosen by a hash, so they grow with the corpus; ``ROUNDS`` more read all of them. Long texts go through
+then over all). Every round's model comes from sums over training documents without a choice among them.
+The first pass is incremental: it reads each document once, in ``PARTS`` parts, and after each part the
+model follows the sums of all parts read so far. ``ROUNDS`` more passes read all documents under one
+model each, so the sums that make the final model are of the whole corpus. Long texts go through
 the recursion in pieces of ``CELLS`` tokens with the messages carried across, so no start is learned
 inside a text and memory is bounded by one text's tokens.
 
@@ -37,17 +39,19 @@ from pyspark.sql import functions as F
 from .common import doc_remainder, settle, texts_of
 
 STATES = 8
-WARM_ROUNDS, WARM_SHARE = 10, 16
+PARTS = 8  # of the first pass
 ROUNDS = 2
 OWN = 1 << 16  # classes of one token
 REST = 1 << 14  # classes of all other tokens, at most; fewer while they would hold under ``REST_TOKENS`` each
 REST_TOKENS = 64
 CELLS = 1 << 18  # tokens and padding that one batch of texts holds, or one piece of a longer text
+TEXTS = 2048  # at most that one batch holds
 MIN_COUNT = 4  # a state cannot be told from fewer
 PRIOR = 0.1  # the share of each state's emissions that follows the counts of all
 END = " "  # no word has a space
 SLICE = 12_500
 FLUSH = 200_000
+_ONES = np.ones(STATES, np.float32)
 MEMORY = 1_000_000
 
 
@@ -111,7 +115,7 @@ class _Pass:
         move, alpha = model.move.astype(np.float32), first
         for t, n in enumerate(active):
             a = (alpha[:n] @ move if alpha is not None else model.start.astype(np.float32)) * e[t, :n]
-            s = a.sum(1)
+            s = a @ _ONES
             self.scale[t, :n] = s
             alpha = self.alpha[t, :n]
             np.divide(a, s[:, None], out=alpha)
@@ -222,13 +226,31 @@ def _row(part: int, salt: int, places: np.ndarray, sums: np.ndarray) -> pa.Recor
     return pa.record_batch([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), pa.array([places.astype("<i4").tobytes()], pa.binary()), pa.array([sums.astype("<f4" if part else "<f8").tobytes()], pa.binary())], names=["part", "salt", "places", "sums"])
 
 
+def _packed(ids: list[np.ndarray]) -> pa.Array:
+    """Three bytes a class: there are fewer than 2 ** 24."""
+    return pa.array([np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes() for x in ids], pa.binary())
+
+
+def _unpacked(column) -> list[np.ndarray]:
+    out = []
+    for x in column.to_pylist():
+        wide = np.zeros((len(x) // 3, 4), np.uint8)
+        wide[:, :3] = np.frombuffer(x, np.uint8).reshape(-1, 3)
+        out.append(wide.view("<i4").ravel())
+    return out
+
+
 def _expect(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = shared.value, None
-        vocabulary = model.vocabulary()
         for batch in batches:
-            found = expected(model, [_ids(vocabulary, x.lower().split()) for x in texts_of(batch["text"])])
-            total = found if total is None else tuple(a + b for a, b in zip(total, found, strict=True))
+            for k in range(0, len(batch), TEXTS):
+                found = expected(model, _unpacked(batch.slice(k, TEXTS)["ids"]))
+                if total is None:
+                    total = found
+                else:
+                    for a, b in zip(total, found, strict=True):
+                        a += b
         if total is not None:
             start, move, sums = total
             salt = TaskContext.get().partitionId() >> 6
@@ -265,10 +287,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def _round(texts: DataFrame, model: Model) -> Model:
-    """The model after one round of Baum-Welch over ``texts``."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    sums = texts.mapInArrow(_expect(shared), _SUMS)
+def _sums(coded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The expected counts of starts and transitions, in a row, and of emissions over the texts of ``coded``."""
+    shared = coded.sparkSession.sparkContext.broadcast(model)
+    sums = coded.select("ids").mapInArrow(_expect(shared), _SUMS)
     near = sums.repartition("part", "salt").sortWithinPartitions("part", "salt").mapInArrow(_merge, _SUMS)
     rows = near.withColumn("salt", F.lit(0)).repartition("part").sortWithinPartitions("part", "salt").mapInArrow(_merge, _SUMS).collect()  # of the model's size
     first, emit = np.zeros(STATES + STATES**2), np.zeros((len(model.base), STATES))
@@ -278,6 +300,10 @@ def _round(texts: DataFrame, model: Model) -> Model:
         else:
             emit[np.frombuffer(r["places"], np.int32) + (r["part"] - 1) * SLICE] = np.frombuffer(r["sums"], np.float32).reshape(-1, STATES)
     shared.unpersist()
+    return first, emit
+
+
+def _updated(model: Model, first: np.ndarray, emit: np.ndarray) -> Model:
     new = Model.__new__(Model)
     new.__dict__.update(model.__dict__)
     new.update(first[:STATES], first[STATES:].reshape(STATES, STATES), emit)
@@ -305,61 +331,88 @@ def _rest_class(number: int) -> Column:
     return F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(number)).cast("int")
 
 
-def train(docs: DataFrame, counts: DataFrame, text_col: str = "text", rounds: int = ROUNDS, warm_rounds: int = WARM_ROUNDS) -> Model:
+def train(docs: DataFrame, counts: DataFrame, text_col: str = "text", rounds: int = ROUNDS, warm_rounds: int = PARTS) -> Model:
     """A model of ``docs``; ``counts`` are their token counts."""
     model = classes(counts)
+    return fit(code(docs, model, text_col), model, rounds, warm_rounds)
+
+
+def fit(coded: DataFrame, model: Model, rounds: int = ROUNDS, parts: int = PARTS) -> Model:
+    """``model`` after a pass in ``parts`` and ``rounds`` whole ones over all texts of ``coded``."""
     if not model.total:
         return model
-    texts = docs.select(F.col(text_col).alias("text"))
-    if warm_rounds:
-        some = settle(texts.where(F.pmod(F.xxhash64("text"), F.lit(WARM_SHARE)) == 0), "warm-texts")
-        for _ in range(warm_rounds):
-            model = _round(some, model)
+    read = None
+    for part in range(parts):
+        own = _sums(coded.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == part), model)
+        read = own if read is None else tuple(a + b for a, b in zip(read, own, strict=True))
+        model = _updated(model, *read)
     for _ in range(rounds):
-        model = _round(texts, model)
+        model = _updated(model, *_sums(coded, model))
     return model
 
 
-def _scored(shared):
+def _coded(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         vocabulary, own = model.vocabulary(), len(model.tokens)
         base = np.concatenate([np.log10((model.counts + 1) / (model.total + model.distinct + 1)), np.zeros(len(model.rest))])
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            ids, rest = [], []
-            for text in texts_of(batch["text"]):  # the words of one text at a time
-                words = text.lower().split()
-                ids.append(_ids(vocabulary, words))
-                words.append(END.encode())
-                rest.append([(w.decode(), n) for w, n in Counter([words[k] for k in np.flatnonzero(ids[-1] >= own).tolist()]).items()])
-            scores = forward(model, ids) if ids else np.zeros(0)
-            offsets = np.cumsum([0, *map(len, rest)]).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array([w for x in rest for w, _ in x], pa.string()), pa.array([n for x in rest for _, n in x], pa.int64())], names=["token", "n"])
-            columns = {
-                "row": pa.array(np.arange(row, row + len(batch))),
-                "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                "n_frequent": pa.array([int((x < own).sum()) for x in ids], pa.int64()),
-                "base": pa.array([float(base[x].sum()) for x in ids], pa.float64()),
-                "forward": pa.array(scores, pa.float64()),
-                "rest": pa.ListArray.from_arrays(pa.array(offsets), pairs),
-            }
-            row += len(batch)
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.record_batch([*(batch[c] for c in names), *columns.values()], names=[*names, *columns])
+        for whole in batches:
+            for k in range(0, len(whole), TEXTS):
+                batch = whole.slice(k, TEXTS)
+                ids, rest = [], []
+                for text in texts_of(batch["text"]):  # the words of one text at a time
+                    words = text.lower().split()
+                    ids.append(_ids(vocabulary, words))
+                    words.append(END.encode())
+                    rest.append([(w.decode(), n) for w, n in Counter([words[k] for k in np.flatnonzero(ids[-1] >= own).tolist()]).items()])
+                offsets = np.cumsum([0, *map(len, rest)]).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array([w for x in rest for w, _ in x], pa.string()), pa.array([n for x in rest for _, n in x], pa.int64())], names=["token", "n"])
+                columns = {
+                    "row": pa.array(np.arange(row, row + len(batch))),
+                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                    "n_frequent": pa.array([int((x < own).sum()) for x in ids], pa.int64()),
+                    "base": pa.array([float(base[x].sum()) for x in ids], pa.float64()),
+                    "ids": _packed(ids),
+                    "rest": pa.ListArray.from_arrays(pa.array(offsets), pairs),
+                }
+                row += len(batch)
+                names = [c for c in batch.schema.names if c != "text"]
+                yield pa.record_batch([*(batch[c] for c in names), *columns.values()], names=[*names, *columns])
+
+    return run
+
+
+def code(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the classes of each text and its tokens of the rest classes, as a written table."""
+    rows = docs.select(*(keep or []), F.col(text_col).alias("text"))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return settle(rows.mapInArrow(_coded(shared), kept + "row long, n_tokens long, n_frequent long, base double, ids binary, rest array<struct<token:string,n:long>>"), "coded")
+
+
+def _scored(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, len(whole), TEXTS):
+                batch = whole.slice(k, TEXTS)
+                names = [c for c in batch.schema.names if c != "ids"]
+                yield pa.record_batch([*(batch[c] for c in names), pa.array(forward(shared.value, _unpacked(batch["ids"])), pa.float64())], names=[*names, "forward"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` with n_tokens, n_known, train_tokens, base_score and score."""
-    keep = keep or []
-    spark = docs.sparkSession
-    rows = docs.select(*keep, F.col(text_col).alias("text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return score_coded(code(docs, model, text_col, keep), model, counts, keep or [])
+
+
+def score_coded(coded: DataFrame, model: Model, counts: DataFrame, keep: list[str]) -> DataFrame:
+    spark = coded.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    local = settle(rows.mapInArrow(_scored(shared), kept + "row long, n_tokens long, n_frequent long, base double, forward double, rest array<struct<token:string,n:long>>"), "forward")
-    rest = local.select("row", F.explode("rest").alias("r")).select("row", "r.token", F.col("r.n").alias("times"))
+    rows = coded.select(*keep, "row", "n_tokens", "n_frequent", "base", "ids")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "forward double"])
+    rest = coded.select("row", F.explode("rest").alias("r")).select("row", "r.token", F.col("r.n").alias("times"))
     sizes = spark.createDataFrame([(k, float(n + d + 1)) for k, (n, d) in enumerate(model.rest.tolist())], "class int, size double")
     c = F.coalesce("n", F.lit(0)) + F.lit(1.0)
     met = rest.join(counts, "token", "left").withColumn("class", _rest_class(len(model.rest))).join(F.broadcast(sizes), "class")  # REST rows at most
@@ -369,7 +422,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "tex
         F.sum(F.col("times") * F.log10(c / F.col("size"))).alias("rest_score"),
     )
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    out = local.drop("rest").join(sums, "row", "left")
+    out = rows.mapInArrow(_scored(shared), schema).join(sums, "row", "left")
     return out.select(*keep, "n_tokens", (F.col("n_frequent") + zero("rest_known")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + zero("rest_base")).alias("base_score"), (F.col("forward") + zero("rest_score")).alias("score"))
 
 
@@ -378,5 +431,8 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
     held = held_out if held_out is not None else doc_remainder(F.col("doc_id"), 7) == 2
     training = docs.where(~held)
     counts = settle(token_counts(training), "token-counts")
-    model = train(training, counts)
-    return score(docs.withColumn("_held_out", held), model, counts, keep=["doc_id", "_held_out"]).withColumnRenamed("_held_out", "held_out")
+    keep = ["doc_id", "_held_out"]
+    model = classes(counts)
+    coded = code(docs.withColumn("_held_out", held), model, keep=keep)
+    model = fit(coded.where("not _held_out"), model)
+    return score_coded(coded, model, counts, keep).withColumnRenamed("_held_out", "held_out")

@@ -443,6 +443,19 @@ def test_training_is_distributed_baum_welch(spark):
     assert np.allclose(trained.emit, local.emit, atol=1e-4) and np.allclose(trained.move, local.move, atol=1e-4)
 
 
+def test_training_reads_every_document_in_each_pass(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"a b w{k % 5} " * 3) for k in range(40)], "doc_id long, text string").repartition(3)
+    counts, real, read = hmm.token_counts(docs), hmm._sums, []
+    monkeypatch.setattr(hmm, "_sums", lambda coded, model: (read.append(sorted(r["row"] for r in coded.select("row").collect())), real(coded, model))[1])
+    sums = []
+    update = hmm.Model.update
+    monkeypatch.setattr(hmm.Model, "update", lambda self, start, move, emit: (sums.append(emit.sum()), update(self, start, move, emit))[1])
+    hmm.train(docs, counts)
+    everything = sorted(x for part in read[: -hmm.ROUNDS] for x in part)
+    assert len(set(everything)) == len(everything) == 40 and all(x == everything for x in read[-hmm.ROUNDS :])
+    assert sums[-hmm.ROUNDS - 1 :] == pytest.approx([400.0] * (hmm.ROUNDS + 1), rel=1e-4)
+
+
 def test_scores_against_brute_force(spark, small, monkeypatch):
     monkeypatch.setattr(hmm, "OWN", 9)  # most tokens share rest classes
     counts = hmm.token_counts(small.where("doc_id < 50")).cache()
