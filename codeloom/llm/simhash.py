@@ -16,13 +16,12 @@ its segments in the table of segments, and the full distance of every match is v
   above, gives its first links. It cannot give all of them: at 0.8 about 15% of the bits differ, and no
   ball of a bearable size reaches that far (README). So the links are completed by pairs that share one of
   ``BANDS`` MinHash bands, whose chance depends on the similarity alone and not on the length. Every
-  candidate's shingle sets are compared whole. No band is paired within itself: its classes meet ``PIVOTS`` of
-  them, which is every pair of a band of up to ``PIVOTS + 1`` classes and linear work in a band of any size.
-  Two classes of different components that have only wider bands in common meet again by every two of
-  these bands: a pair at 0.8 shares fewer than two of the 24 with a probability of 6e-5, one at 0.4 two or
-  more with 0.13. These finer groups have pivots as well, others each round, until a round finds no link. A link is
-  missed only if neither end is ever a pivot of a wide group that both share and no other way joins them;
-  the README has the recall as measured.
+  candidate's shingle sets are compared whole. First the classes of a band meet ``PIVOTS`` of them, others in
+  each of ``ROUNDS`` rounds: linear work that joins the large groups of near copies. Then, so that no pivot
+  decides what is linked, every two classes of a band that are still of different components meet. A pair is
+  left out there only if the parity of its shingles' bits proves that it differs in too many: a shingle
+  that both have changes no bit of the two parities' difference, so that is never above the sets'
+  difference. No pair that shares a band is missed.
 
 Components come from alternating large-star and small-star rounds over written tables.
 
@@ -49,6 +48,9 @@ from .common import discard, mix, numbered, settle, texts_of
 SEED = 42
 MAX_BUCKET = 1_000
 PIVOTS = 3
+ROUNDS = 2
+#: 64-bit words of the parity of a set's shingles, and classes of a wide band that one group of pairs takes from either side.
+WORDS, GROUP = 16, 4_096
 #: MinHash: a pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 BANDS, ROWS = 24, 4
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))[:, None]
@@ -175,6 +177,12 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return keys
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """Bit by bit, whether an odd number of the hashes fall on it; two of these differ in no more bits than the sets in hashes."""
+    places = (h % np.uint64(64 * WORDS)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=64 * WORDS) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
     offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)))
@@ -183,15 +191,16 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, prints, slots = [], [], [], []
+            ids, sizes, prints, slots, odd = [], [], [], [], []
             for text in texts_of(batch["text"]):
                 h = np.unique(shingle_hashes(text.lower(), width, SEED))
                 ids.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 sizes.append(len(h))
                 prints.append(majority(h) if len(h) else 0)
                 slots.append(band_keys(h))
+                odd.append(parity(h))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.record_batch([batch["doc_id"], batch["mark"], signed(ids), pa.array(sizes, pa.int64()), signed(prints), _lists(slots)], names=["doc_id", "mark", "id", "n", "w0", "slots"])
+            yield pa.record_batch([batch["doc_id"], batch["mark"], signed(ids), pa.array(sizes, pa.int64()), signed(prints), _lists(slots), _lists(odd)], names=["doc_id", "mark", "id", "n", "w0", "slots", "odd"])
 
     return run
 
@@ -237,39 +246,50 @@ def _spokes(tables: DataFrame, salt: int) -> DataFrame:
     return met.where("root != p.root").select("x", "n", F.col("p.id").alias("y"), F.col("p.n").alias("m"))
 
 
-def _wide(tables: DataFrame, above: int = PIVOTS + 1) -> DataFrame:
-    """The rows of bands of over ``above`` classes and several roots; of up to ``PIVOTS + 1`` pivots paired every two."""
-    held = tables.groupBy("slot").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return tables.join(held.where((F.col("held") > above) & (F.col("low") != F.col("high"))).select("slot"), "slot", "left_semi")
+def _mixed(tables: DataFrame) -> DataFrame:
+    """The rows of bands of several roots, with the band's classes ``held`` and its commonest root ``most``."""
+    held = tables.groupBy("slot").agg(F.count("*").alias("held"), F.mode("root").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return tables.join(held.where("low != high").select("slot", "held", "most"), "slot")
 
 
-def _twos(tables: DataFrame) -> DataFrame:
-    """Each two bands of a class as one, where several roots have both; a class has at most ``BANDS`` bands."""
-    bands = tables.groupBy("id", "n", "root").agg(F.array_sort(F.collect_set("slot")).alias("s"))
-    twos = F.expr(f"flatten(transform(s, (x, i) -> transform(slice(s, i + 2, {BANDS}), y -> xxhash64(x, y))))")
-    return _wide(bands.select("id", "n", "root", F.explode(twos).alias("slot")), 1)
+def rest_pairs(tables: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(x, n, y, m): every two classes of a band that have different roots, but those whose parities differ in too many bits.
+
+    Sets of n and m shingles that share ``percent`` differ in (n + m)(100 - percent) / (100 + percent) at most. Only classes of
+    other roots than the band's commonest meet the whole band, and a wide band is dealt to several groups.
+    """
+    odd = [F.col("odd")[k].alias(f"o{k}") for k in range(WORDS)]
+    rows = settle(_mixed(tables).withColumn("parts", F.ceil(F.col("held") / GROUP).cast("int")).join(classes.select("id", *odd), "id"), "mixed")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    few = rows.where("root != most").withColumn("group", part)
+    few = few.select("slot", "group", F.col("id").alias("x"), "n", F.col("root").alias("x_root"), *(F.col(f"o{k}").alias(f"x{k}") for k in range(WORDS)))
+    all_ = rows.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    all_ = all_.select("slot", "group", F.col("id").alias("y"), F.col("n").alias("m"), "root", *(f"o{k}" for k in range(WORDS)))
+    apart = reduce(Column.__add__, (F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"o{k}"))) for k in range(WORDS)))
+    near = (F.col("x_root") != F.col("root")) & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+    return few.join(all_, ["slot", "group"]).where(near).select("x", "n", "y", "m")
 
 
 def similar_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b) with a < b: class ids with a shingle similarity of ``percent`` or more.
 
-    ``classes`` has ``id``, ``n``, ``w0``, ``slots`` and the ``mark`` of one text; ``texts`` has ``mark`` and ``text``.
+    ``classes`` has ``id``, ``n``, ``w0``, ``slots``, ``odd`` and the ``mark`` of one text; ``texts`` has ``mark`` and ``text``.
+    Their components are those of all such pairs that share a band or are linked by SimHash.
     """
     tables = settle(classes.select("id", "n", F.col("id").alias("root"), F.explode("slots").alias("slot")), "slots")
     sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # else the similarity is lower
     ordered = lambda df: df.where(sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tried = [settle(ordered(simhash_pairs(classes.select("id", "n", "w0")).unionByName(_spokes(tables, 0))), "spokes")]
     found = [settle(_similar(tried[0], classes, texts, shingle, percent), "links")]
-    finer = _twos
-    while not found[-1].isEmpty():
+    for step in range(1, ROUNDS + 1):
         # From here on only pairs of different components count.
         roots = components(reduce(DataFrame.unionByName, found))
         rooted = tables.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        before, tables, finer = tables, settle(finer(_wide(rooted)), "slots"), lambda df: df
+        before, tables = tables, settle(_mixed(rooted).select("id", "n", "root", "slot"), "slots")
         discard(before)
-        new = settle(ordered(_spokes(tables, len(tried))).join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "spokes")
-        tried.append(new)
-        found.append(settle(_similar(new, classes, texts, shingle, percent), "links"))
+        pairs = _spokes(tables, step) if step < ROUNDS else rest_pairs(tables, classes, percent)
+        tried.append(settle(ordered(pairs).join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "spokes"))
+        found.append(settle(_similar(tried[-1], classes, texts, shingle, percent), "links"))
     discard(tables, *tried)
     return reduce(DataFrame.unionByName, found)
 
@@ -278,8 +298,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, mark, root) for each row of ``docs``: rows of one component of near copies share ``root``."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = settle(texts.mapInArrow(_sketches(shingle), f"doc_id {kind}, mark long, id long, n long, w0 long, slots array<long>"), "sketches")
-    classes = settle(rows.groupBy("id").agg(F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("w0").alias("w0"), F.first("slots").alias("slots")), "classes")
+    rows = settle(texts.mapInArrow(_sketches(shingle), f"doc_id {kind}, mark long, id long, n long, w0 long, slots array<long>, odd array<long>"), "sketches")
+    classes = settle(rows.groupBy("id").agg(F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("w0").alias("w0"), F.first("slots").alias("slots"), F.first("odd").alias("odd")), "classes")
     roots = components(similar_links(classes, texts.select("mark", "text"), shingle, percent))
     return rows.join(roots, "id", "left").select("doc_id", "mark", F.coalesce("root", "id").alias("root"))
 

@@ -151,6 +151,29 @@ def test_near_dedup_links_every_pair_at_four_fifths(spark):
     assert simhash.near_dedup(df).count() == len(docs) - linked
 
 
+def test_no_pair_of_a_wide_band_is_missed(spark):
+    """Near copies whose only common band is one that all classes share."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(40):
+        words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(60)]
+        texts += [" ".join(words), " ".join([*words, "tail"])]
+    hashes = [np.unique(simhash.shingle_hashes(x.encode(), 5, simhash.SEED)) for x in texts]
+    signed = lambda x: [int(v) for v in np.array(x, np.uint64).view(np.int64)]
+    rows = [(k, k, len(h), k << 40 | k * 0x9E3779B9 & 0xFFFFFFFF, [7], signed(simhash.parity(h)) if hasattr(simhash, "parity") else []) for k, h in enumerate(hashes)]
+    classes = spark.createDataFrame(rows, "id long, mark long, n long, w0 long, slots array<long>, odd array<long>")
+    found = simhash.similar_links(classes, spark.createDataFrame(list(enumerate(texts)), "mark long, text string"), 5, 80)
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(2 * k, 2 * k + 1) for k in range(40)}
+
+
+def test_parity_never_differs_in_more_bits_than_the_sets():
+    rng = np.random.default_rng(3)
+    for n, own in ((0, 1), (50, 5), (400, 90), (3000, 40)):
+        a, b, c = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (n, own, own))
+        apart = int(np.bitwise_count(simhash.parity(np.concatenate([a, b])) ^ simhash.parity(np.concatenate([a, c]))).sum())
+        assert apart <= 2 * own and (2 * own - apart) % 2 == 0
+
+
 def test_shared_and_null_ids_keep_their_own_texts(spark):
     rows = [(None, "one two three four five six"), (None, "seven eight nine ten eleven"), (5, "red green blue white black"), (5, "north south east west up"), (None, "one two three four five six"), (5, "red green blue white black"), (None, "North South East West Up")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
