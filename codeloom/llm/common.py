@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -75,6 +76,18 @@ def row_mark(rows: DataFrame) -> Column:
     return F.xxhash64(*(f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"))
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(owner: str, make: Callable[[], object]):
+    """What the tasks of ``owner`` keep in a worker process; that of other owners, whose stage is over, is dropped."""
+    for other in [x for x in _kept if x != owner]:
+        del _kept[other]
+    if owner not in _kept:
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_remainder, numbered, texts_of
+from .common import doc_remainder, kept, numbered, texts_of
 
 TRAIN_DOCS = 2_000
 MIN_CONTEXT = 8
@@ -139,10 +139,12 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
 
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            preds, scores, costs = [], [], []
-            for k in range(0, len(batch), 300):
-                texts = texts_of(batch.slice(k, 300)["text"])
+        kept("language", dict)  # a worker that encoded tokens before holds none of them now
+        for whole in batches:
+            for k in range(0, len(whole), 300):  # what is held and sent on stays as small
+                batch = whole.slice(k, 300)
+                preds, scores, costs = [], [], []
+                texts = texts_of(batch["text"])
                 model = shared.value
                 bits = model.lengths(texts) if model else None
                 for j, text in enumerate(texts):
@@ -155,8 +157,8 @@ def _scored(shared):
                         preds.append(model.langs[best])
                         costs.append(float(bits[j, best]))
                         scores.append(float(1 / np.exp2(np.minimum(0, bits[j, best] - bits[j])).sum()))
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.record_batch([*(batch[c] for c in names), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(costs, pa.float64())], names=[*names, "lang_pred", "score", "bits"])
+                names = [c for c in batch.schema.names if c != "text"]
+                yield pa.record_batch([*(batch[c] for c in names), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(costs, pa.float64())], names=[*names, "lang_pred", "score", "bits"])
 
     return run
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import partitions, shared_path
+from .common import kept, partitions, shared_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
@@ -46,7 +46,6 @@ _MARKS = ".,;:!?#$%&*|"
 _PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTS)}
 _SPACE = {0: "", -1: chr(_LETTERS[32])}
-_encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -134,9 +133,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(path, lambda: Encoder(path))
 
 
 def _encode(path: str):

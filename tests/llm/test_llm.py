@@ -4,9 +4,11 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -416,6 +418,16 @@ def small_model():
     return hmm.Model([b" ", b"a", b"b", b"c"], np.array([5.0, 9, 4, 2]), np.array([[5.0, 4]]), 25, 8)
 
 
+def test_language_stage_holds_little_in_a_worker():
+    """Neither the encoder of an earlier stage's tasks nor large batches sent on."""
+    first = token_file.encoder(token_file.TOKENIZER)
+    assert token_file.encoder(token_file.TOKENIZER) is first
+    batch = pa.record_batch([pa.array(range(1000)), pa.array(["some words"] * 1000)], names=["c0", "text"])
+    out = list(language_id._scored(SimpleNamespace(value=None))(iter([batch])))
+    assert [x for b in out for x in b["c0"].to_pylist()] == list(range(1000)) and max(map(len, out)) <= 300
+    assert token_file.encoder(token_file.TOKENIZER) is not first
+
+
 def test_forward_recursion_and_training(monkeypatch):
     rng = np.random.default_rng(1)
     model = small_model()
