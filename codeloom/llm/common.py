@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -55,6 +56,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_path = path
+    # The lineage is done with: its plans, shuffles and broadcasts go once the driver's collectors find them.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 

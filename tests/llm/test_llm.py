@@ -1,7 +1,9 @@
 """The training-data operators against brute force, round trips and their SQL, and on edge cases."""
 
+import gc
 import math
 import random
+import weakref
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -15,6 +17,7 @@ from tokenizers import Tokenizer
 
 from codeloom.llm import decontaminate, exact_dedup, hmm, language_id, mixing, quality, simhash, substring_dedup, token_file, warc
 from codeloom.llm import queries as llm
+from codeloom.llm.common import settle
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, row long"
@@ -418,6 +421,21 @@ def small_model():
     return hmm.Model([b" ", b"a", b"b", b"c"], np.array([5.0, 9, 4, 2]), np.array([[5.0, 4]]), 25, 8)
 
 
+def test_settling_frees_what_the_lineage_held(spark):
+    class Held:
+        pass
+
+    held = Held()
+    held.itself = held  # as plans and their columns hold each other
+    seen = weakref.ref(held)
+    gc.disable()
+    try:
+        del held
+        assert settle(spark.range(3), "three").count() == 3 and seen() is None
+    finally:
+        gc.enable()
+
+
 def test_language_stage_holds_little_in_a_worker():
     """Neither the encoder of an earlier stage's tasks nor large batches sent on."""
     first = token_file.encoder(token_file.TOKENIZER)
