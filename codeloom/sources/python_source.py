@@ -7,14 +7,17 @@ one pass over them; only names are shuffled.
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from codeloom.operators.graph import Graph, merge_edges
+from codeloom.operators.iterate import _cut
 
 DEFS = "file string, ord int, name string, qualified_name string, module_path string, kind string, start_line int, end_line int, is_pub boolean, is_async boolean, is_test boolean, decision_points int, parameters int, lines_of_code int, max_nesting int, awaits int, returns int"
 CALLS = "file string, caller string, module_path string, short string, kind string, in_loop boolean, line int"
@@ -85,13 +88,42 @@ class _File:
             self.body(child, own, inside, stats, deeper, loop or isinstance(node, _LOOPS))
 
 
-def _extract(part: str, columns: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Rows of files that a task gathers before it hands them on.
+GATHERED = 10_000
+
+
+def _extract(parse: Callable, schemas: dict[str, str]) -> tuple[Callable, StructType]:
+    """(function of Arrow batches of (path, text), its schema): the rows of each part that ``parse`` finds in a file.
+
+    A row has the number of its part and that part's columns; many files share a batch.
+    """
+    kind = StructType.fromDDL(", ".join(["part int", *(f"{part}_{x}" for part, schema in schemas.items() for x in schema.split(", "))]))
+    to = to_arrow_schema(kind)
+    widths = [len(schema.split(", ")) for schema in schemas.values()]
+    blank = [((None,) * sum(widths[:k]), (None,) * sum(widths[k + 1 :])) for k in range(len(widths))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), to, strict=True)], schema=to)
         for batch in batches:
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                yield pd.DataFrame(getattr(_File(path, text), part), columns=columns)
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                file = parse(path, text)
+                found += [(k, *before, *row, *after) for (k, part), (before, after) in zip(enumerate(schemas), blank, strict=True) for row in getattr(file, part)]
+                if len(found) >= GATHERED:
+                    yield pack()
+                    found.clear()
+        if found:
+            yield pack()
 
-    return run
+    return run, kind
+
+
+def extract(sources: DataFrame, parse: Callable, schemas: dict[str, str], keep: bool = False) -> list[DataFrame]:
+    """The parts (``defs``, ``calls``) of each (path, text); with ``keep`` each file is read once for all of them."""
+    run, kind = _extract(parse, schemas)
+    rows = sources.select("path", "text").where("path is not null").mapInArrow(run, kind)
+    rows = _cut(rows) if keep else rows
+    return [rows.where(F.col("part") == k).select(*(F.col(f"{part}_{c}").alias(c) for c in _names(schema))) for k, (part, schema) in enumerate(schemas.items())]
 
 
 def _names(schema: str) -> list[str]:
@@ -100,12 +132,16 @@ def _names(schema: str) -> list[str]:
 
 def definitions(sources: DataFrame) -> DataFrame:
     """Definitions of each (path, text)."""
-    return sources.select("path", "text").where("path is not null").mapInPandas(_extract("defs", _names(DEFS)), DEFS)
+    return extract(sources, _File, {"defs": DEFS})[0]
 
 
 def raw_calls(sources: DataFrame) -> DataFrame:
     """Calls by the name that is called, with the function around them."""
-    return sources.select("path", "text").where("path is not null").mapInPandas(_extract("calls", _names(CALLS)), CALLS)
+    return extract(sources, _File, {"calls": CALLS})[0]
+
+
+def graph(sources: DataFrame) -> Graph:
+    return resolve(*extract(sources, _File, {"defs": DEFS, "calls": CALLS}, keep=True))
 
 
 def resolve(defs: DataFrame, calls: DataFrame) -> Graph:
@@ -113,7 +149,7 @@ def resolve(defs: DataFrame, calls: DataFrame) -> Graph:
     module wins, else the first; a name without candidates is an external function."""
     first = Window.partitionBy("qualified_name").orderBy("file", "ord")
     defs = defs.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
-    inner = defs.withColumn("node_id", F.xxhash64("qualified_name"))
+    inner = _cut(defs.withColumn("node_id", F.xxhash64("qualified_name")))
     # One row for each name and module, and one for each name: joins on names then stay linear.
     best = lambda *keys, on="true": inner.where(on).groupBy(*keys).agg(F.min_by("node_id", F.struct("file", "ord")).alias("hit"))
     sides = []
@@ -123,8 +159,8 @@ def resolve(defs: DataFrame, calls: DataFrame) -> Graph:
         rows = calls.where(F.col("kind") == kind).withColumnRenamed("short", "name")
         sides.append(rows.join(near, ["name", "module_path"], "left").join(far, "name", "left"))
     hits = sides[0].unionByName(sides[1]).unionByName(sides[2]).join(inner.select(F.col("qualified_name").alias("caller"), F.col("node_id").alias("src")), "caller")
-    hits = hits.withColumn("inner", F.coalesce("near", "far")).withColumn("dst", F.coalesce("inner", F.xxhash64(F.concat(F.lit("external "), "name"))))
+    hits = _cut(hits.withColumn("inner", F.coalesce("near", "far")).withColumn("dst", F.coalesce("inner", F.xxhash64(F.concat(F.lit("external "), "name")))))
     outer = hits.where("inner is null").select(F.col("dst").alias("node_id"), "name").distinct().select("node_id", "name", F.col("name").alias("qualified_name"), F.lit("").alias("module_path"), F.lit("external").alias("kind"))
     nodes = inner.drop("ord").unionByName(outer, allowMissingColumns=True)
     edges = hits.select("src", "dst", F.when(F.col("inner").isNull(), "unresolved").otherwise(F.col("kind")).alias("kind"), F.lit(1).alias("count"), "in_loop", "line")
-    return Graph(nodes, merge_edges(edges))
+    return Graph(nodes, _cut(merge_edges(edges)))

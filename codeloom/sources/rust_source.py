@@ -8,16 +8,16 @@ only names, qualifiers and owners are shuffled.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.operators.graph import Graph, merge_edges
+from codeloom.operators.iterate import _cut
 
+from .python_source import extract
 from .tokens import Tokens
 
 FLAGS = ["is_pub", "is_async", "is_unsafe", "is_test", "is_method", "is_generic", "is_exported", "is_trait_impl"]
@@ -465,24 +465,13 @@ class _Body:
         self.file.calls.append((self.file.path, len(self.file.calls), caller, self.own if caller != self.own else self.scope, kind, path, short, receiver, t.line(pos), t.column(pos), self.loops.at(k) > 0, self.exempt.at(k) > 0, awaited))
 
 
-def _extract(part: str, schema: str):
-    columns = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                yield pd.DataFrame(getattr(RustFile(path, text), part), columns=columns)
-
-    return run
-
-
 def definitions(sources: DataFrame) -> DataFrame:
     """Definitions of each (path, text), spawned closures among them."""
-    return sources.select("path", "text").where("path is not null").mapInPandas(_extract("defs", DEFS), DEFS)
+    return extract(sources, RustFile, {"defs": DEFS})[0]
 
 
 def raw_calls(sources: DataFrame) -> DataFrame:
-    return sources.select("path", "text").where("path is not null").mapInPandas(_extract("calls", CALLS), CALLS)
+    return extract(sources, RustFile, {"calls": CALLS})[0]
 
 
 # Resolution
@@ -519,9 +508,9 @@ def resolve(defs: DataFrame, calls: DataFrame, ubiquitous: list[str] | None = No
     shapes (caller, kind, path, receiver), each once. Candidates meet by name and a qualifier, owner or place, so
     no common name is paired with all its definitions.
     """
-    nodes = intern(defs)
+    nodes = _cut(intern(defs))
     shape = ["caller", "module", "kind", "path", "short", "receiver"]
-    shapes = calls.join(nodes.select(F.col("qualified_name").alias("caller")), "caller", "left_semi").select(*shape).distinct().withColumn("shape", F.xxhash64(*shape))
+    shapes = _cut(calls.join(nodes.select(F.col("qualified_name").alias("caller")), "caller", "left_semi").select(*shape).distinct().withColumn("shape", F.xxhash64(*shape)))
     found = nodes.select(F.col("name").alias("short"), F.col("node_id").alias("target"), F.col("module_path").alias("home"), F.col("file").alias("def_file"), F.col("ord").alias("def_ord"), "is_method", "associated", "owner", "segments", "is_trait_impl")
     if sees is not None:
         seen = lambda rows: rows.join(sees.select(F.col("crate").alias("_from"), F.col("other").alias("_to")), (_crate("module") == F.col("_from")) & (_crate("home") == F.col("_to")), "left_semi")
@@ -564,13 +553,13 @@ def resolve(defs: DataFrame, calls: DataFrame, ubiquitous: list[str] | None = No
     told = shapes.join(best, "shape", "left").where("kind <> 'spawn' or target is not null")
     copied = (F.col("kind") == "method_call") & F.col("short").isin("clone", "to_owned", "to_vec") & F.col("receiver").isNotNull()
     key = F.when(copied, F.concat(F.element_at(F.split("receiver", "::"), -1), F.lit("::"), "short")).when(F.col("path") == "", F.col("short")).otherwise(F.col("path"))
-    told = told.withColumn("outer", F.when(F.col("target").isNull(), key)).withColumn("dst", F.coalesce("target", F.xxhash64(F.concat(F.lit("external "), key)))).withColumn("src", F.xxhash64("caller"))
+    told = _cut(told.withColumn("outer", F.when(F.col("target").isNull(), key)).withColumn("dst", F.coalesce("target", F.xxhash64(F.concat(F.lit("external "), key)))).withColumn("src", F.xxhash64("caller")))
     rows = calls.withColumn("shape", F.xxhash64(*shape)).select("shape", "line", "col", "in_loop", "blocking_ok", "awaited").join(told.select("shape", "src", "dst", F.when(F.col("target").isNull(), "unresolved").otherwise(F.col("kind")).alias("kind")), "shape").drop("shape")
     outer = told.where("outer is not null").select(F.col("dst").alias("node_id"), F.col("outer").alias("name")).distinct().select("node_id", "name", F.col("name").alias("qualified_name"), F.lit("").alias("module_path"), F.lit("external").alias("kind"))
     inner = nodes.drop("ord", "owner", "segments", "associated").withColumn("is_example", F.lit(False))
     zero = {**{x: False for x in [*FLAGS, "is_example"]}, **{x: 0 for x in [*STATS, "start_line", "end_line"]}}
-    return Graph(inner.unionByName(outer, allowMissingColumns=True).fillna(zero), merge_edges(rows.withColumn("count", F.lit(1))))
+    return Graph(inner.unionByName(outer, allowMissingColumns=True).fillna(zero), _cut(merge_edges(rows.withColumn("count", F.lit(1)))))
 
 
 def rust_graph(sources: DataFrame) -> Graph:
-    return resolve(definitions(sources), raw_calls(sources))
+    return resolve(*extract(sources, RustFile, {"defs": DEFS, "calls": CALLS}, keep=True))

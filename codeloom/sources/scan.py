@@ -38,7 +38,7 @@ LANGUAGES = {
 #: The source of each language: a graph of (path, text) rows.
 ADAPTERS: dict[str, Callable[[DataFrame], Graph]] = {
     "rust": rust_source.rust_graph,
-    "python": lambda s: python_source.resolve(python_source.definitions(s), python_source.raw_calls(s)),
+    "python": python_source.graph,
     "typescript": brace_source.graph,
     "go": brace_source.graph,
     "cpp": brace_source.graph,
